@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, cut, scratch, text_or_empty
 
-RUNS = 16
+RUNS = 8
 SALTS = 64
 
 
@@ -35,17 +35,21 @@ def entries(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
 
 
 def flush(memtables: DataFrame, path: str, runs: int = RUNS) -> DataFrame:
-    """Writes the sorted runs below ``path``, one folder each, and reads them back."""
+    """Writes the sorted runs below ``path``, one folder each, and reads them back. A filter is as large as the digests of one file ask for."""
+    spark = memtables.sparkSession
+    files = runs * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = max(64, 2 * memtables.count() // files)
     best = F.max(F.struct("n_cp", F.bitwise_not(F.col("doc_id")).alias("not_id")))  # of not_id the greatest is the smallest identifier; null loses
     (
         memtables.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"), "digest")
         .agg(best.alias("best"), F.count("*").alias("n"))
         .sortWithinPartitions("run", "digest")
         .write.option("parquet.bloom.filter.enabled#digest", "true")
+        .option("parquet.bloom.filter.expected.ndv#digest", str(each))
         .partitionBy("run")
         .parquet(path)
     )
-    return memtables.sparkSession.read.schema("digest binary, best struct<n_cp int, not_id bigint>, n bigint, run int").parquet(path)
+    return spark.read.schema("digest binary, best struct<n_cp int, not_id bigint>, n bigint, run int").parquet(path)
 
 
 def compact(runs: DataFrame) -> DataFrame:
