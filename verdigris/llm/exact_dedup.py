@@ -70,9 +70,10 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ru
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     memtables = cut(entries(docs, digest))
-    index = compact(flush(memtables, scratch(spark, "runs"), runs))
+    # Cut, so that both sides of the join are plain shuffles and a hot digest's partition can be split.
+    hits = cut(compact(flush(memtables, scratch(spark, "runs"), runs)).where("group_size > 1"))
     marks = cut(
-        memtables.join(index.where("group_size > 1"), "digest", "left").select(
+        memtables.join(hits, "digest", "left").select(
             "doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
         )
     )
