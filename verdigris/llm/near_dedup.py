@@ -7,7 +7,7 @@ Steps:
 1. Documents with equal shingle sets form a class; one document, the one of smallest doc_id, stands for it.
 2. Of t = rows * bands coordinates each band of ``rows`` gives a key. Two sets of similarity s share some key with probability 1 - (1 - s**rows) ** bands.
 3. Every member of a bucket is compared with one member, the pivot (never all pairs): the one with most bucket neighbours in all, the likely centre of a family of copies. A compared pair counts as linked after its whole texts' shingle sets have been intersected.
-4. Buckets that then still hold members of several components may hide links between members. Their documents go through an exact prefix join: shingles are put in order of rising document frequency, and two sets of the asked similarity must share one of their first n - ceil(s * n) + 1 shingles. What shares one, differs in component and fits in size is compared as in step 3. Edited copies of one text differ in rare shingles, so this join stays small where a bucket's pairs would not, and it loses no link.
+4. Buckets that then still hold members of several components may hide links between members. Their documents go through an exact prefix join: shingles are put in order of rising document frequency, and two sets of the asked similarity must share one of their first n - ceil(s * n) + 1 shingles, early enough in both that what follows can still make up the overlap (positional filter). What shares one, differs in component and fits in size is compared as in step 3. Edited copies of one text differ in rare shingles, so this join stays small where a bucket's pairs would not, and it loses no link.
 5. Components come from large-star and small-star steps (Kiveris and others, 2014), over tables in the shared folder.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, removed, scratch
 
 WORDS = 5
-ROWS = 7
-BANDS = 84
+ROWS = 6
+BANDS = 56
 #: Pairs are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Rows that one copy of a pivot's text is joined to.
@@ -181,7 +181,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows
     base = cut(docs.mapInPandas(_sketched(words, rows, bands), "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>"))
     sets = base.where("class is not null and doc_id is not null")
     classes = cut(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("keys").alias("keys")))
-    members = classes.select("doc_id", F.explode("keys").alias("key")).distinct()
+    # A doc_id of several classes may be in a bucket twice; it is then its own neighbour, which changes nothing.
+    members = classes.select("doc_id", F.explode("keys").alias("key"))
     counted = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut(members.join(counted, "key"))
     weights = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
@@ -225,23 +226,26 @@ def _listed(words: int):
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 sets = [shingler.shingles(x).view(np.int64) for x in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "component": part["component"].array, "hashes": sets})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "component": part["component"].array, "set": [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in sets], "hashes": sets})
 
     return run
 
 
 def _prefix_pairs(texts: DataFrame, hard: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b), a > b, of different components that can be linked: they share a shingle of their prefixes and fit in size."""
-    listed = texts.join(hard, "doc_id").select("doc_id", "component", "text").mapInPandas(_listed(words), "doc_id bigint, component bigint, hashes array<bigint>")
-    rows = cut(listed.select("doc_id", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
+    listed = texts.join(hard, "doc_id").select("doc_id", "component", "text").mapInPandas(_listed(words), "doc_id bigint, component bigint, set bigint, hashes array<bigint>")
+    rows = cut(listed.select("doc_id", "component", "set", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
     frequency = rows.groupBy("h").agg(F.count("*").alias("df"))
-    at = F.row_number().over(W.partitionBy("doc_id", "n").orderBy("df", "h"))
+    at = F.row_number().over(W.partitionBy("doc_id", "set").orderBy("df", "h"))
     # n - ceil(percent * n / 100) + 1
     prefix = rows.join(frequency.where("df > 1"), "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
-    prefix = cut(prefix.where("df > 1").select("doc_id", "component", "n", "h"))
+    prefix = cut(prefix.where("df > 1").select("doc_id", "component", "n", "h", "at"))
     # Shingles whose documents are all of one component join nothing.
     open_ = prefix.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
     prefix = prefix.join(open_, "h")
-    left = prefix.select(F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "h")
-    right = prefix.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), "h")
-    return left.join(right, "h").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    left = prefix.select(F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), "h")
+    right = prefix.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "h")
+    size_fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # Of the pair's first common shingle: with what follows it, it must still reach the overlap that the similarity asks for.
+    rest_fits = (100 + percent) * (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) >= percent * (F.col("na") + F.col("nb"))
+    return left.join(right, "h").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & rest_fits).select("a", "b").distinct()
