@@ -13,6 +13,7 @@ Neighbours in the order of doc_id come from blocks of consecutive identifiers, c
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,16 +43,41 @@ def weighted_terms(tagged: str) -> Column:
     return F.when(n > 0, begins).otherwise(F.array().cast("array<int>"))
 
 
-def sample(term: Column, log_weight: Column, chunk: Column, i: int) -> Column:
-    """Sample i of a chunk for a term as one long; the least of a document's terms is its sample."""
-    h1, h2 = F.xxhash64(term, chunk, F.lit(2 * i)), F.xxhash64(term, chunk, F.lit(2 * i + 1))
-    part = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(0xFFFFFF).cast("long")) + 0.5) / float(1 << 24)
-    b = (F.shiftleft(h1.bitwiseAND(F.lit(0xFFFF).cast("long")), 16) + h2.bitwiseAND(F.lit(0xFFFF).cast("long"))) / float(1 << 32)
-    r = -F.ln(part(h1, 40) * part(h1, 16))
-    log_c = F.ln(-F.ln(part(h2, 40) * part(h2, 16)))
+def gamma_quantiles(p: np.ndarray) -> np.ndarray:
+    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
+    low, high = np.zeros_like(p), np.full_like(p, 64.0)
+    for _ in range(80):
+        mid = (low + high) / 2
+        below = -np.expm1(-mid) - mid * np.exp(-mid) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+# Inverse transform sampling by tables of 4096 steps, linear between them; the lowest step of ln c, which decides in long texts, has a table of its own.
+_STEPS = 4096
+_P = np.arange(_STEPS + 1) / _STEPS
+_P[0], _P[-1] = 0.5 / _STEPS, 1 - 0.5 / _STEPS
+_R = gamma_quantiles(_P)
+_LOG_C = np.log(_R)
+_LOG_C_LOWEST = np.log(gamma_quantiles((np.arange(_STEPS) + 0.5) / _STEPS**2))
+
+
+def _table(values: np.ndarray) -> Column:
+    return F.lit(np.ascontiguousarray(values, np.float64))
+
+
+def sample(term: Column, log_weight: Column, i: int) -> Column:
+    """Sample i of a term as one long; the least of a document's terms is its sample. One hash gives the draws of r, c and b."""
+    h = F.xxhash64(term, F.lit(i))
+    part = lambda at, mask: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(mask).cast("long"))
+    step = lambda at: part(at, _STEPS - 1).cast("int")
+    drawn = lambda values, at: F.get(_table(values[:-1]), step(at)) + F.get(_table(np.diff(values) / _STEPS), step(at)) * part(at - 12, _STEPS - 1)
+    r = drawn(_R, 52)
+    log_c = F.when(step(28) == 0, F.get(_table(_LOG_C_LOWEST), step(16))).otherwise(drawn(_LOG_C, 28))
+    b = part(0, 0xFFFF) / 65536.0
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1.0)
-    # ln a lies between -128 and 8: ln c from -16 to 4, r below 34, and r * t at most ln S + r.
+    # ln a lies between -128 and 8: ln c from -10 to 3, r below 12, and r * t at most ln S + r.
     fixed = ((log_a + 128.0) * float(1 << 23)).cast("long")
     return F.shiftleft(fixed, 32).bitwiseOR(F.hash(term, t).cast("long").bitwiseAND(F.lit(_LOW32).cast("long")))
 
@@ -113,8 +139,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     log_of = lambda w: F.when(w > 0, F.ln(w.cast("double")))
     chunks = F.explode(F.sequence(F.lit(0), F.lit(samples // CHUNK - 1))).alias("chunk")
     terms = terms.select("block", "at", "term", log_of(F.col("n") - F.col("edits")).alias("l0"), log_of(F.col("edits")).alias("l1"), F.struct("ghost", "doc_id", "n_chars", "edited_sha256").alias("row"), chunks)
-    drawn = [F.min(sample(F.col("term"), F.col(f"l{w}"), F.col("chunk"), i)).alias(f"s{w}_{i}") for i in range(CHUNK) for w in (0, 1)]
-    found = terms.groupBy("block", "at", "row", "chunk").agg(*drawn)
+    drawn = [F.min(sample(F.col("drawn"), F.col(f"l{w}"), i)).alias(f"s{w}_{i}") for i in range(CHUNK) for w in (0, 1)]
+    found = terms.withColumn("drawn", F.xxhash64("term", "chunk")).groupBy("block", "at", "row", "chunk").agg(*drawn)
     bits = lambda w: F.array(*((F.col(f"s{w}_{i}").bitwiseAND(F.lit(_LOW32).cast("long")) - (1 << 31)).cast("int") for i in range(CHUNK)))
     found = found.select("block", "at", "row", "chunk", bits(0).alias("sig"), bits(1).alias("edited_sig"))
     # A document's chunks in order; they are in one partition already.
