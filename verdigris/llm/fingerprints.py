@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACES_RE, text_or_empty
 
 SAMPLES = 64
-#: Samples are drawn in chunks, a row for each term and chunk, so that an aggregate's columns stay few enough for generated code.
-CHUNK = 16
+#: Samples are drawn in chunks, a row for each term and chunk, so that the aggregate's generated code stays small enough for the JVM to compile.
+CHUNK = 4
 #: At most as many blocks (the driver holds one boundary each), of about so many rows.
 MOST_BLOCKS = 4096
 BLOCK_ROWS = 24
@@ -53,33 +53,35 @@ def gamma_quantiles(p: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-# Inverse transform sampling by tables of 4096 steps, linear between them; the lowest step of ln c, which decides in long texts, has a table of its own.
-_STEPS = 4096
-_P = np.arange(_STEPS + 1) / _STEPS
-_P[0], _P[-1] = 0.5 / _STEPS, 1 - 0.5 / _STEPS
-_R = gamma_quantiles(_P)
-_LOG_C = np.log(_R)
-_LOG_C_LOWEST = np.log(gamma_quantiles((np.arange(_STEPS) + 0.5) / _STEPS**2))
-
-
-def _table(values: np.ndarray) -> Column:
-    return F.lit(np.ascontiguousarray(values, np.float64))
-
-
-def sample(term: Column, log_weight: Column, i: int) -> Column:
-    """Sample i of a term as one long; the least of a document's terms is its sample. One hash gives the draws of r, c and b."""
-    h = F.xxhash64(term, F.lit(i))
-    part = lambda at, mask: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(mask).cast("long"))
-    step = lambda at: part(at, _STEPS - 1).cast("int")
-    drawn = lambda values, at: F.get(_table(values[:-1]), step(at)) + F.get(_table(np.diff(values) / _STEPS), step(at)) * part(at - 12, _STEPS - 1)
-    r = drawn(_R, 52)
-    log_c = F.when(step(28) == 0, F.get(_table(_LOG_C_LOWEST), step(16))).otherwise(drawn(_LOG_C, 28))
-    b = part(0, 0xFFFF) / 65536.0
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b + 1.0)
-    # ln a lies between -128 and 8: ln c from -10 to 3, r below 12, and r * t at most ln S + r.
-    fixed = ((log_a + 128.0) * float(1 << 23)).cast("long")
-    return F.shiftleft(fixed, 32).bitwiseOR(F.hash(term, t).cast("long").bitwiseAND(F.lit(_LOW32).cast("long")))
+class Draws:
+    """Inverse transform sampling by tables of 1024 steps, linear between them; the lowest step of ln c, which decides in long texts, has a table of its own. The tables are columns made once, as making one takes a call for each value."""
+
+    STEPS = 1024
+
+    def __init__(self) -> None:
+        n = self.STEPS
+        p = np.arange(n + 1) / n
+        p[0], p[-1] = 0.5 / n, 1 - 0.5 / n
+        r = gamma_quantiles(p)
+        table = lambda values: F.lit(np.ascontiguousarray(values, np.float64))
+        fine = 1 << 12
+        self.r, self.r_slope = table(r[:-1]), table(np.diff(r) / fine)
+        self.c, self.c_slope = table(np.log(r[:-1])), table(np.diff(np.log(r)) / fine)
+        self.lowest = table(np.log(gamma_quantiles((np.arange(n) + 0.5) / n**2)))
+
+    def sample(self, term: Column, log_weight: Column, i: int) -> Column:
+        """Sample i of a term as one long; the least of a document's terms is its sample. One hash gives the draws of r, c and b."""
+        h = F.xxhash64(term, F.lit(i))
+        part = lambda at, bits: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        drawn = lambda values, slopes, at: F.get(values, part(at + 12, 10).cast("int")) + F.get(slopes, part(at + 12, 10).cast("int")) * part(at, 12)
+        r = drawn(self.r, self.r_slope, 42)
+        log_c = F.when(part(32, 10) == 0, F.get(self.lowest, part(22, 10).cast("int"))).otherwise(drawn(self.c, self.c_slope, 20))
+        b = part(0, 20) / float(1 << 20)
+        t = F.floor(log_weight / r + b)
+        log_a = log_c - r * (t - b + 1.0)
+        # ln a lies between -128 and 8: ln c from -8 to 3, r below 11, and r * t at most ln S + r.
+        fixed = ((log_a + 128.0) * float(1 << 23)).cast("long")
+        return F.shiftleft(fixed, 32).bitwiseOR(F.hash(term, t).cast("long").bitwiseAND(F.lit(_LOW32).cast("long")))
 
 
 def blocks(docs: DataFrame) -> tuple[Column, DataFrame | None]:
@@ -122,6 +124,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         first = placed.alias("p").join(F.broadcast(edges.alias("e")), (F.col("p.block") == F.col("e.block")) & F.col("p.doc_id").eqNullSafe(F.col("e.first")))
         first = first.groupBy("for", "p.doc_id").agg(F.max("text").alias("text"))
         placed = placed.unionByName(first.select(F.col("for").alias("block"), "doc_id", "text", F.lit(True).alias("ghost")))
+    # Dealt out here, by number: the work is in the terms, so partitions must not be merged for their few bytes.
+    placed = placed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     order = W.partitionBy("block").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
     size, third = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     rows = (
@@ -138,15 +142,21 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     terms = runs.select("block", "at", "ghost", "doc_id", "n_chars", "edited_sha256", F.col("x.term").alias("term"), F.size("x.run").alias("n"), edits.alias("edits"))
     log_of = lambda w: F.when(w > 0, F.ln(w.cast("double")))
     chunks = F.explode(F.sequence(F.lit(0), F.lit(samples // CHUNK - 1))).alias("chunk")
-    terms = terms.select("block", "at", "term", log_of(F.col("n") - F.col("edits")).alias("l0"), log_of(F.col("edits")).alias("l1"), F.struct("ghost", "doc_id", "n_chars", "edited_sha256").alias("row"), chunks)
-    drawn = [F.min(sample(F.col("drawn"), F.col(f"l{w}"), i)).alias(f"s{w}_{i}") for i in range(CHUNK) for w in (0, 1)]
-    found = terms.withColumn("drawn", F.xxhash64("term", "chunk")).groupBy("block", "at", "row", "chunk").agg(*drawn)
+    # What belongs to the document travels as whole numbers, which a hash aggregate keeps in place.
+    words = [F.conv(F.substring("edited_sha256", 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"w{k}") for k in range(4)]
+    held = ["ghost", "doc_id", "n_chars", *(f"w{k}" for k in range(4))]
+    terms = terms.select("block", "at", "term", log_of(F.col("n") - F.col("edits")).alias("l0"), log_of(F.col("edits")).alias("l1"), F.col("ghost").cast("int").alias("ghost"), "doc_id", "n_chars", *words)
+    terms = terms.select("*", chunks).withColumn("drawn", F.xxhash64("term", "chunk"))
+    draws = Draws()
+    drawn = [F.min(draws.sample(F.col("drawn"), F.col(f"l{w}"), i)).alias(f"s{w}_{i}") for i in range(CHUNK) for w in (0, 1)]
+    found = terms.groupBy("block", "at", "chunk").agg(*drawn, *(F.max(c).alias(c) for c in held))
     bits = lambda w: F.array(*((F.col(f"s{w}_{i}").bitwiseAND(F.lit(_LOW32).cast("long")) - (1 << 31)).cast("int") for i in range(CHUNK)))
-    found = found.select("block", "at", "row", "chunk", bits(0).alias("sig"), bits(1).alias("edited_sig"))
+    found = found.select("block", "at", "chunk", bits(0).alias("sig"), bits(1).alias("edited_sig"), *held)
     # A document's chunks in order; they are in one partition already.
-    found = found.groupBy("block", "at", "row").agg(F.sort_array(F.collect_list(F.struct("chunk", "sig", "edited_sig"))).alias("parts"))
+    found = found.groupBy("block", "at").agg(F.sort_array(F.collect_list(F.struct("chunk", "sig", "edited_sig"))).alias("parts"), *(F.max(c).alias(c) for c in held))
     digits = lambda sig: F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(F.coalesce(x.cast("long") + (1 << 31), F.lit(0))), 8, "0")), ""))
-    found = found.select("block", "at", "row.*", F.flatten(F.col("parts.sig")).alias("sig"), F.flatten(F.col("parts.edited_sig")).alias("edited_sig"))
+    sha = F.lower(F.concat(*(F.lpad(F.hex(f"w{k}"), 16, "0") for k in range(4)))).alias("edited_sha256")
+    found = found.select("block", "at", (F.col("ghost") == 1).alias("ghost"), "doc_id", "n_chars", sha, F.flatten(F.col("parts.sig")).alias("sig"), F.flatten(F.col("parts.edited_sig")).alias("edited_sig"))
     found = found.withColumn("next_sig", F.lead("sig").over(W.partitionBy("block").orderBy("at")))
     near = lambda other: F.aggregate(F.zip_with("sig", other, lambda a, b: a.eqNullSafe(b).cast("int")), F.lit(0), lambda a, v: a + v) / float(samples)
     return found.where("not ghost").select("doc_id", "n_chars", "edited_sha256", digits(F.col("sig")).alias("fingerprint"), digits(F.col("edited_sig")).alias("edited_fingerprint"), near("edited_sig").alias("near_edited"), near("next_sig").alias("near_next"))
