@@ -1,6 +1,6 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-1. Documents are tokenised where they are read. A text parts at ASCII white space into chunks that the tokenizer treats alone, so each worker keeps the ids of chunks it has seen.
+1. Documents are tokenised where they are read. The tokenizer treats words alone, so each worker keeps the ids of words it has seen.
 2. Shards: a document belongs to a shard by a hash of its doc_id; shards hold about SHARD_DOCS documents, so no source, however large, gathers in one task.
 3. In a shard each source is a queue, in order of doc_id. Each round gives a queue's deficit counter a quantum in proportion to its source's share of all tokens; a queue sends documents while its counter lasts and carries the rest. The stream of documents is cut into windows of WINDOW ids, so a document goes on in the next window and counters carry over.
 4. Counters also carry across shards: a shard starts with what its sources are owed after the shards before it, which follows from a small table of tokens per source and shard.
@@ -30,37 +30,76 @@ STRETCH = 1024
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
 
 
-class ChunkTokenizer:
-    """Ids of whole texts, chunk by chunk; ``path`` names a file of the tokenizers library whose pre-tokenizer drops white space."""
+class WordTokenizer:
+    """Ids of whole texts, by way of the ids of their words; ``path`` names a file of the tokenizers library.
 
-    def __init__(self, path: str, end_id: int | None = END_ID, kept: int = 1 << 18) -> None:
+    The tokenizer at hand composes, turns white space into blanks, lower-cases, parts a text by a pattern into words and then merges within words only, so that a word's last token is marked. A text in Latin script is parted here and each new word is encoded once for the worker. Any other text, and any other tokenizer, goes through the library whole: texts that hold a special token, characters from U+0250 on, separators whose class differs between libraries, or that composition would change.
+    """
+
+    LIMIT = "\u0250"
+    #: Fixed value: the pattern of the word-level vocabulary. Below it the same words for characters below LIMIT, first the commonest kind (kinds differ in their first character, but for the contractions, which come before other signs).
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    PARTS = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_L}{_N}]+")
+
+    def __init__(self, path: str, end_id: int | None = END_ID, kept: int = 1 << 19) -> None:
+        import json
+        import unicodedata
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
-        self.end = np.array([] if end_id is None else [end_id], "<u4")
-
-    def ids(self, text: str | None) -> np.ndarray:
-        chunks = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        known = self.known
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.end = np.array([] if end_id is None else [end_id], self.kind).tobytes()
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        mark = rules["model"].get("end_of_word_suffix")
+        self.words = None
+        if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and mark:
+            self.words = self.PARTS if split["pattern"]["Regex"] == self.PATTERN else None
+        if self.words is not None:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.last[i] = token.endswith(mark)
+            special = [regex.escape(x["content"]) for x in rules["added_tokens"]]
+            self.odd = regex.compile("|".join([*special, r"[\x1c-\x1f\x85\xa0]"]))
+            self.composed = lambda s: unicodedata.is_normalized("NFC", s)
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids, little-endian, in ``kind``."""
+        if not text:
+            return self.end
+        if self.words is None or (not text.isascii() and (max(text) >= self.LIMIT or not self.composed(text))) or self.odd.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
+        words, known = self.words.findall(text.lower()), self.known
         if len(known) > self.kept:
             known.clear()
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4")
-        return np.concatenate([*map(known.__getitem__, chunks), self.end]).astype("<u4", copy=False)
-
-
-def _tokenised(path: str, end_id: int | None, kind: str):
+        if new := [w for w in dict.fromkeys(words) if w not in known]:
+            found = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the tokenizer does not keep words apart")
+            at = 0
+            for w, end in zip(new, ends.tolist(), strict=True):
+                known[w] = found[at:end].tobytes()
+                at = end
+        return b"".join(map(known.__getitem__, words)) + self.end
+
+
+def _tokenised(path: str, end_id: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(path, end_id)
+        tokenizer = WordTokenizer(path, end_id)
+        width = np.dtype(tokenizer.kind).itemsize
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 ids = [tokenizer.ids(x) for x in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "source": part["source"].array, "shard": part["shard"].array, "n": [len(x) for x in ids], "ids": [x.astype(kind).tobytes() for x in ids]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "source": part["source"].array, "shard": part["shard"].array, "n": [len(x) // width for x in ids], "ids": ids})
 
     return run
 
@@ -151,12 +190,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     ``proportions``: the tokens of each source in a window, in proportion; by default each source's share of all tokens, so that all queues last to the end. A source that they do not name gets the least of them. Null and empty texts have the end id only; without an end id they have no piece. A null source is a queue of its own. Rows that repeat a doc_id are packed one by one. Longer documents than a window are cut. An empty table gives no rows. Other columns are not read.
     """
-    from tokenizers import Tokenizer
-
-    kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    kind = WordTokenizer(tokenizer_path, end_id).kind
     shards = max(1, -(-docs.select("doc_id").count() // shard_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
-    tokens = cut(rows.mapInPandas(_tokenised(tokenizer_path, end_id, kind), "doc_id bigint, source string, shard int, n bigint, ids binary"))
+    tokens = cut(rows.mapInPandas(_tokenised(tokenizer_path, end_id), "doc_id bigint, source string, shard int, n bigint, ids binary"))
     held = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     weights = {s: (proportions.get(s, min(proportions.values())) if proportions else n) for s, n in held.items()}
     total = sum(weights.values()) or 1
