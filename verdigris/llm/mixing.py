@@ -107,7 +107,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     totals.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     sizes, shares = [r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))]
     wanted = targets(sizes, shares, percent, cap)
-    seats = sainte_lague(wanted, round(sum(wanted) / block_words), [x * cap // block_words for x in sizes])
+    most = [x * cap // block_words for x in sizes]
+    # What a source cannot give in whole blocks is no seat of another's.
+    seats = sainte_lague(wanted, round(sum(min(w / block_words, m) for w, m in zip(wanted, most, strict=True))), most)
     schema = "source string, source_no int, source_size bigint, target double, seats bigint"
     sources = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], seats[i]) for i, r in enumerate(totals)], schema)
     n = sum(r["n"] for r in totals)
