@@ -93,7 +93,7 @@ def utf16_truncate(text: Column, most: int) -> Column:
 def dictionary_normalized(text: Column, composed: bool = False) -> Column:
     """The form in which terms are matched: NFKC, lower case, look-alike signs folded, stripped, format characters and U+0307 removed. ``composed``: the text is known to be NFKC."""
     folded = F.translate(F.lower(text if composed else nfkc(text)), LEET_FROM, LEET_TO)
-    return F.regexp_replace(strip(folded), r"[\p{Cf}̇]", "")
+    return F.regexp_replace(strip(folded), r"[\p{Cf}\u0307]", "")
 
 
 def without_inner_punctuation(text: Column) -> Column:
@@ -131,7 +131,7 @@ def compact(text: Column) -> Column:
 
 def sentence(text: Column) -> Column:
     trimmed = java_trim(text)
-    return F.when(trimmed.rlike(r"[.!?]$") & ~trimmed.rlike(r"[\r\n\u0085  ]$"), trimmed).otherwise(F.concat(trimmed, F.lit(".")))
+    return F.when(trimmed.rlike(r"[.!?]\z"), trimmed).otherwise(F.concat(trimmed, F.lit(".")))
 
 
 def log_safe(text: Column) -> Column:

@@ -31,7 +31,7 @@ class DictionaryError(ValueError):
 def normalized(term: str) -> str:
     """A term in the form in which texts are matched (see ``dictionary_normalized``); dictionaries are small, so this runs on the driver."""
     folded = unicodedata.normalize("NFKC", term).lower().translate(str.maketrans(LEET_FROM, LEET_TO)).strip()
-    return "".join(c for c in folded if unicodedata.category(c) != "Cf" and c != "̇")
+    return "".join(c for c in folded if unicodedata.category(c) != "Cf" and c != "\u0307")
 
 
 def parse_banned(lines: list[str]) -> list[Term]:

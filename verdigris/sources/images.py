@@ -80,7 +80,7 @@ def header_fault(h: Column, most_pixels: int = MOST_PIXELS) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, header, fault) of the files below a path. Files beyond the size limit are judged by their size alone."""
+    """(path, size, header, fault) of the files below a path (Spark's source passes over files of no bytes). Files beyond the size limit are judged by their size alone."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
     judged = files.withColumn("header", image_header("content"))
     fault = F.when(F.col("size") == 0, "empty image").when(F.col("size") > MOST_BYTES, "image exceeds size limit").otherwise(header_fault(F.col("header")))
@@ -89,6 +89,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(path, height, width, nChannels, data) of the images that may be decoded and can be; pixels stay out of the join with the gates."""
-    good = read_files(spark, path).where("fault is null").select("path")
-    pixels = spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0")
+    # The two sources write a local path's scheme with one and with three slashes.
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    good = read_files(spark, path).where("fault is null").select(same(F.col("path")).alias("path"))
+    pixels = spark.read.format("image").load(path).select(same(F.col("image.origin")).alias("path"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0")
     return pixels.join(good, "path", "left_semi")
