@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, scratch, text_or_empty
+from .common import SPACES, cut, removed, scratch, text_or_empty
 
 RUNS = 8
 SALTS = 64
@@ -71,7 +71,9 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ru
     docs = docs.select("doc_id", "text")
     memtables = cut(entries(docs, digest))
     # Cut, so that both sides of the join are plain shuffles and a hot digest's partition can be split.
-    hits = cut(compact(flush(memtables, scratch(spark, "runs"), runs)).where("group_size > 1"))
+    path = scratch(spark, "runs")
+    hits = cut(compact(flush(memtables, path, runs)).where("group_size > 1"))
+    removed(spark, path)
     marks = cut(
         memtables.join(hits, "digest", "left").select(
             "doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 18
-SAMPLE = 10_000
-EPOCHS = 3
+SAMPLE = 5_000
+EPOCHS = 2
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 THRESHOLD = 0.7
@@ -38,6 +38,7 @@ class Features:
 
     def __init__(self, bits: int = BITS, kept: int = 1 << 19) -> None:
         self.mask, self.kept, self.known = np.uint64((1 << bits) - 1), kept, {}
+        self.hashes = np.zeros((1024, 2), np.uint64)  # of each known word and of its shape
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -46,13 +47,16 @@ class Features:
             known.clear()
         for w in words:
             if w not in known:
+                if len(known) == len(self.hashes):
+                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
                 raw = w.lower().encode("utf-8", "surrogatepass")
-                known[w] = (xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(shape(w).encode("utf-8", "surrogatepass"), 1))
+                self.hashes[len(known)] = xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(shape(w).encode("utf-8", "surrogatepass"), 1)
+                known[w] = len(known)
         n = len(words)
         if not n:
             return np.zeros(1, np.int64), np.ones(1, np.float64)
-        both = np.array([known[w] for w in words], np.uint64)
-        word, form = both[:, 0], both[:, 1].copy()
+        both = self.hashes[np.fromiter(map(known.__getitem__, words), np.int64, n)]
+        word, form = both[:, 0].copy(), both[:, 1].copy()
         with np.errstate(over="ignore"):
             same = np.flatnonzero(word[1:] == word[:-1]) + 1
             form[same] = form[same] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
