@@ -8,11 +8,11 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline as pipeline
+
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components, tokenizer_path
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
