@@ -42,7 +42,7 @@ class WordTokenizer:
     _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
     PARTS = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_L}{_N}]+")
 
-    def __init__(self, path: str, end_id: int | None = END_ID, kept: int = 1 << 19) -> None:
+    def __init__(self, path: str, end_id: int | None = END_ID, kept: int = 1 << 20) -> None:
         import json
         import unicodedata
 
@@ -76,7 +76,7 @@ class WordTokenizer:
         words, known = self.words.findall(text.lower()), self.known
         if len(known) > self.kept:
             known.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
+        if new := list(set(words).difference(known)):
             found = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.kind)
             ends = np.flatnonzero(self.last[found]) + 1
             if len(ends) != len(new):
