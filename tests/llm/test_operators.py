@@ -22,7 +22,7 @@ from verdigris.llm import queries as Q
 from verdigris.llm import url_rules as urls
 from verdigris.llm import warc
 from verdigris.llm.fingerprints import fingerprints
-from verdigris.llm.mixing import mix, mixed_documents, sainte_lague, targets
+from verdigris.llm.mixing import mix, mixed_documents, quotas, sainte_lague, targets
 from verdigris.llm.near_dedup import Shingler, near_dedup, sketches
 from verdigris.llm.packing import WordTokenizer, drr, pack, sequences
 from verdigris.llm.preferences import paired_conversations, preference_pairs
@@ -410,6 +410,23 @@ def test_mix_meets_targets(docs, rows):
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def test_mix_of_short_texts_reaches_targets(spark):
+    """Many shards, sources of short texts at their cap, and one under half a block."""
+    rows = [(i, "w " * 30, "big") for i in range(60_000)] + [(100_000 + i, "v " * 25, "small") for i in range(300)] + [(200_000, "u " * 11, "tiny")]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.expr("taken > 2 * size")).alias("over")).collect()
+    assert {r["source"]: r["taken"] for r in got} == {r["source"]: round(r["target"]) for r in got}
+    assert {r["source"]: r["taken"] for r in got if r["source"] != "big"} == {"small": 15_000, "tiny": 22} and not any(r["over"] for r in got)
+
+
+def test_quotas_hand_on_what_shards_cannot_fill():
+    random.seed(2)
+    for _ in range(200):
+        sizes = [random.choice([0, 3, 31, 40, 500]) for _ in range(random.randint(1, 9))]
+        words = random.randint(0, 2 * sum(sizes))
+        got = quotas(sizes, words, 64, 2)
+        assert sum(got) == words and all(0 <= q <= 2 * x for q, x in zip(got, sizes, strict=True))
+
+
 def test_targets_share_the_excess():
     assert targets([100, 100], [3, 1]) == [200.0, 100.0]
     assert targets([10, 1000], [1, 1]) == [20.0, 1495.0]

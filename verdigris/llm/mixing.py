@@ -1,10 +1,10 @@
 r"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 1. Targets: the sources, in code point order (null last), have weights that repeat a cycle. They share ``percent`` of all words; a target stops at CAP times its source's size and the excess goes to the others by weight, until none is above.
-2. Blocks: a block is BLOCK_WORDS words. The targets' blocks are seats: sources get them by highest quotients target / (2k + 1) (Sainte-Laguë), then each source's seats go to its shards by highest quotients of the shards' words. Quotas are integers, so they add up.
+2. Blocks: the targets' words are seats that sources get by highest quotients target / (2k + 1) (Sainte-Laguë), which rounds them so that they add up. A block is BLOCK_WORDS words. A source's whole blocks go to its shards by highest quotients of the shards' words; what is left, and what shards have no room for as whole blocks, goes to the next quotients as short blocks. So a source gives its target to the word.
 3. Selection: a shard's documents are put in an order by a seeded hash and laid end to end as a ring of words. The quota's blocks are laid along the ring, once around for each full repeat. What blocks cover of a document is taken from its start on; no document is taken more than CAP times.
 
-A shard is a share of a source's documents by a hash of doc_id, so a hot source is spread over all shards. The driver holds a row for each source, and one task the shards of one source.
+A shard is a share of a source's documents by a hash of doc_id, so a hot source is spread over many shards and a small one is whole. The driver holds a row for each source, and one task the shards of one source.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ WEIGHTS = (3, 1, 2)
 PERCENT = 150
 CAP = 2
 BLOCK_WORDS = 64
-#: A source's shards: one for SMALL_SHARD rows of the table up to SHARDS of them, later one for LARGE_SHARD rows.
-SMALL_SHARD, SHARDS, LARGE_SHARD = 400, 256, 20_000
+#: A source's shards: one for SMALL_SHARD of its rows and SHARD_BLOCKS blocks of its words up to SHARDS of them, later one for LARGE_SHARD rows.
+SMALL_SHARD, SHARD_BLOCKS, SHARDS, LARGE_SHARD = 400, 64, 256, 20_000
 SEED = 17
 
 
@@ -85,10 +85,23 @@ def sainte_lague(shares: Sequence[float], seats: int, most: Sequence[int]) -> li
     return [int(x) for x in out]
 
 
+def quotas(sizes: Sequence[int], words: int, block: int, cap: int) -> list[int]:
+    """The words that each shard gives, ``words`` in all where the sizes allow it: whole blocks first, then short ones by the next quotients."""
+    blocks = sainte_lague(sizes, words // block, [x * cap // block for x in sizes])
+    out = [n * block for n in blocks]
+    left = words - sum(out)
+    # Either less than a block is left or no shard has room for a whole one.
+    for i in sorted(range(len(out)), key=lambda i: (-sizes[i] / (2 * blocks[i] + 1), i)):
+        short = min(left, sizes[i] * cap - out[i])
+        out[i] += short
+        left -= short
+    return out
+
+
 def _quotas(block: int, cap: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
-        pdf["quota"] = sainte_lague(pdf["shard_size"], int(pdf["seats"].iloc[0]), pdf["shard_size"] * cap // block)
+        pdf["quota"] = quotas([int(x) for x in pdf["shard_size"]], int(pdf["words"].iloc[0]), block, cap)
         return pdf[["source_no", "shard", "shard_size", "quota"]]
 
     return run
@@ -97,7 +110,7 @@ def _quotas(block: int, cap: int):
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PERCENT, cap: int = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED, carried: Column | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, and ``carried`` if given.
 
-    A null text has no words; a document without words is taken 0 times. A null source is a source of its own, the last. Repeated rows are documents of their own, in the order of their text's hash. The same rows and seed give the same result, however they are partitioned. An empty table gives no rows. Other columns are not read.
+    Each source's ``taken`` add up to its target, rounded. A null text has no words; a document without words is taken 0 times. A null source is a source of its own, the last. Repeated rows are documents of their own, in the order of their text's hash. The same rows and seed give the same result, however they are partitioned. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), (F.lit(0) if carried is None else carried).alias("carried"))
@@ -107,23 +120,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     totals.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     sizes, shares = [r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))]
     wanted = targets(sizes, shares, percent, cap)
-    most = [x * cap // block_words for x in sizes]
-    # What a source cannot give in whole blocks is no seat of another's.
-    seats = sainte_lague(wanted, round(sum(min(w / block_words, m) for w, m in zip(wanted, most, strict=True))), most)
-    schema = "source string, source_no int, source_size bigint, target double, seats bigint"
-    sources = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], seats[i]) for i, r in enumerate(totals)], schema)
-    n = sum(r["n"] for r in totals)
-    shards = max(1, min(n // SMALL_SHARD, SHARDS), n // LARGE_SHARD)
+    given = sainte_lague(wanted, round(sum(wanted)), [x * cap for x in sizes])
+    shards = [max(1, min(r["n"] // SMALL_SHARD, r["size"] // (SHARD_BLOCKS * block_words), SHARDS), r["n"] // LARGE_SHARD) for r in totals]
+    schema = "source string, source_no int, source_size bigint, target double, words bigint, shards bigint"
+    sources = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], given[i], shards[i]) for i, r in enumerate(totals)], schema)
     # Broadcast: a row for each source, as the driver holds them.
-    placed = sized.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "seats")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(shards)).cast("int"))
+    placed = sized.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int"))
     each = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
-    quotas = each.join(F.broadcast(sources.select("source_no", "seats")), "source_no").groupBy("source_no").applyInPandas(_quotas(block_words, cap), "source_no int, shard int, shard_size bigint, quota bigint")
+    dealt = each.join(F.broadcast(sources.select("source_no", "words")), "source_no").groupBy("source_no").applyInPandas(_quotas(block_words, cap), "source_no int, shard int, shard_size bigint, quota bigint")
     ring = W.partitionBy("source_no", "shard").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    laid = placed.withColumn("end", F.sum("size").over(ring)).join(quotas, ["source_no", "shard"])
-    covered = F.col("quota") * block_words
-    rest = covered % F.greatest("shard_size", F.lit(1))
-    repeats = F.floor(covered / F.greatest("shard_size", F.lit(1))).cast("long")
+    laid = placed.withColumn("end", F.sum("size").over(ring)).join(dealt, ["source_no", "shard"])
+    rest = F.col("quota") % F.greatest("shard_size", F.lit(1))
+    repeats = F.floor(F.col("quota") / F.greatest("shard_size", F.lit(1))).cast("long")
     part = F.least(F.greatest(rest - (F.col("end") - F.col("size")), F.lit(0)), F.col("size"))
     return laid.select("doc_id", "size", "source_size", "target", (repeats * F.col("size") + part).cast("long").alias("taken"), "source", *([] if carried is None else ["carried"]))
 
