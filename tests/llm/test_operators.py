@@ -134,6 +134,23 @@ def test_mined_url_rules_equal_brute_force(spark):
         assert got[i][1] == (None if best is None else pytest.approx(best))
 
 
+def test_mined_url_rules_are_precise_on_held_out_pages(spark):
+    """With the parameters of the query: a bad host is found, and noise of 15 % makes no rules."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(3))
+    hosts = [f"{word()}.net" for _ in range(80)]
+    data = [(i, f"http://{'bad.net' if i % 20 < 2 else random.choice(hosts)}/{word()[:2]}/{i}?{random.choice(['utm', 'ref', 'page'])}=1") for i in range(2000)]
+    bad = {i: random.random() < (0.9 if "bad.net" in u else 0.15) for i, u in data}
+    pages = spark.createDataFrame([(i, u, "") for i, u in data], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 0 if bad[i] else 1, 0) for i, _ in data if i % 2], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, labels, rules=()).collect()}
+    held = [i for i, _ in data if i % 2 == 0 and got[i] == "block"]
+    assert {i for i, u in data if i % 2 == 0 and "bad.net" in u} <= set(held)
+    assert np.mean([bad[i] for i in held]) > 0.8
+    few = labels.where("doc_id < 100 and doc_id % 20 = 1").limit(2)
+    assert {r["verdict"] for r in urls.filter_urls(pages, few, rules=()).collect()} == {"allow"}
+
+
 # 3
 
 

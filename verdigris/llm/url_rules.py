@@ -3,7 +3,7 @@
 Fixed rules (host and path prefix) come first. For all other URLs the verdict comes from mined association rules:
 
 1. Tokens of a URL: labels of its host, segments of its path without digits, names of its query's parameters, its scheme.
-2. Spark's FP-growth mines token sets together with the class of labelled pages. Rules "tokens -> block" are kept by support and confidence, and a rule is dropped when a subset of its tokens gives a rule of at least its confidence.
+2. Spark's FP-growth mines token sets together with the class of labelled pages. Rules "tokens -> block" are kept by support, confidence, a least count of blocked pages and the lower confidence bound of their share, which must be one half, so that few pages make no rule; a rule is dropped when a subset of its tokens gives a rule of at least its confidence.
 3. An inverted index holds each rule under the rarest of its tokens. A URL probes the index with its tokens and then compares whole token sets, so it meets few rules.
 
 The rules are written as a table: the optimizer broadcasts them only when they are small.
@@ -21,7 +21,11 @@ from .common import cut, written
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.3
+MIN_CONFIDENCE = 0.6
+#: Blocked pages that a rule rests on at least, whatever the support comes to.
+MIN_BLOCKED = 5
+#: A rule's confidence less its error (Wilson's lower bound at Z standard errors) is at least MIN_BOUND.
+Z, MIN_BOUND = 1.96, 0.5
 BLOCK = "=block"
 
 
@@ -61,13 +65,22 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def lower_bound(share: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share that was seen in n rows."""
+    return (share + z * z / 2 / n - z * F.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_blocked: int = MIN_BLOCKED) -> DataFrame:
     """The rules of the rows (tokens, blocked): rule_tokens, anchor (the rarest of them), confidence, support."""
     items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    if items.isEmpty():
+    items = cut(items)
+    if not (n := items.count()):
         return labelled.sparkSession.createDataFrame([], "rule_tokens array<string>, anchor string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(cut(items))
-    rules = cut(model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"))
+    # FP-growth takes the ceiling of support times rows; half a row less is safe from rounding.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, (min_blocked - 0.5) / n)), minConfidence=min_confidence).fit(items)
+    blocked = F.round(F.col("support") * n)
+    sure = (blocked >= min_blocked) & (lower_bound(F.col("confidence"), blocked / F.col("confidence")) >= MIN_BOUND)
+    rules = cut(model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & sure).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"))
     frequency = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     # A rule minus one token: if that is a rule of at least its confidence, the longer one says nothing new.
     shorter = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("without")).select("rule_tokens", "confidence", F.array_except("rule_tokens", F.array("without")).alias("part"))
