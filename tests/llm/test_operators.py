@@ -151,6 +151,17 @@ def test_mined_url_rules_are_precise_on_held_out_pages(spark):
     assert {r["verdict"] for r in urls.filter_urls(pages, few, rules=()).collect()} == {"allow"}
 
 
+def test_url_tokens_with_digits(spark):
+    cases = ["http://casino777.example.net:8080/a/b2/c?id2=1&x=2", "http://net/"]
+    got = [r["t"] for r in spark.createDataFrame([(u,) for u in cases], "url string").select(urls.tokens(F.col("url")).alias("t")).collect()]
+    assert got == [["h:casino777", "h:example", "h:net", "p:a", "p:c", "q:id2", "q:x", "s:http"], ["h:net", "s:http"]]
+    data = [(i, f"http://{'casino777' if i % 3 == 0 else 'fine'}.example.net/{i}") for i in range(90)]
+    pages = spark.createDataFrame([(i, u, "") for i, u in data], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1, 0) for i, _ in data if i < 60], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, labels, rules=()).collect()}
+    assert found == {i: "block" if i % 3 == 0 else "allow" for i, _ in data}
+
+
 # 3
 
 

@@ -2,7 +2,7 @@
 
 Fixed rules (host and path prefix) come first. For all other URLs the verdict comes from mined association rules:
 
-1. Tokens of a URL: labels of its host, segments of its path without digits, names of its query's parameters, its scheme.
+1. Tokens of a URL: labels of its host (without a port), segments of its path that hold no digit, names of its query's parameters, its scheme.
 2. Spark's FP-growth mines token sets together with the class of labelled pages. Rules "tokens -> block" are kept by support, confidence, a least count of blocked pages and the lower confidence bound of their share, which must be one half, so that few pages make no rule; a rule is dropped when a subset of its tokens gives a rule of at least its confidence.
 3. An inverted index holds each rule under the rarest of its tokens. A URL probes the index with its tokens and then compares whole token sets, so it meets few rules.
 
@@ -51,14 +51,14 @@ def fixed_rule(h: Column, p: Column, rules=RULES) -> Column:
 
 def tokens(url: Column) -> Column:
     lower = F.lower(F.coalesce(url, F.lit("")))
-    named = lambda kind, parts: F.transform(F.filter(parts, lambda x: (x != "") & ~x.rlike("[0-9]")), lambda x: F.concat(F.lit(kind), x))
+    named = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
     query = F.regexp_extract(lower, r"\?([^#]*)", 1)
     return F.array_sort(
         F.array_distinct(
             F.concat(
                 named("s:", F.array(F.regexp_extract(lower, r"^([a-z]+)://", 1))),
-                named("h:", F.split(host(lower), r"\.")),
-                named("p:", F.split(path(lower), "/")),
+                named("h:", F.split(F.regexp_replace(host(lower), ":[0-9]*$", ""), r"\.")),
+                named("p:", F.filter(F.split(path(lower), "/"), lambda x: ~x.rlike("[0-9]"))),
                 named("q:", F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))),
             )
         )
