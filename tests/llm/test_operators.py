@@ -325,6 +325,15 @@ def test_words_give_the_ids_of_whole_texts(text):
         assert np.frombuffer(w.ids(t), w.kind).tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids + [2]
 
 
+def test_capitals_whose_small_letters_are_beyond_the_limit():
+    w = WordTokenizer(tokenizer_path())
+    capitals = [c for c in map(chr, range(0x80, 0x250)) if c.lower() != c]
+    assert {"\u018f", "\u0186", "\u0190", "\u023a"} <= set(capitals)
+    for c in [*capitals, "\u1e9e", "\u2126", "\u212a", "\u212b"]:
+        for t in (f"{c}LI", f"a{c}b x", f"Ad{c}", c):
+            assert np.frombuffer(w.ids(t), w.kind).tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids + [2], t
+
+
 def test_deficits_keep_proportions():
     queues = {"a": collections.deque((("a", 100), 100) for _ in range(300)), "b": collections.deque((("b", 50), 50) for _ in range(200))}
     sent = list(drr(queues, {"a": 300, "b": 100}, {"a": 0.0, "b": 0.0}))

@@ -33,7 +33,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 class WordTokenizer:
     """Ids of whole texts, by way of the ids of their words; ``path`` names a file of the tokenizers library.
 
-    The tokenizer at hand composes, turns white space into blanks, lower-cases, parts a text by a pattern into words and then merges within words only, so that a word's last token is marked. A text in Latin script is parted here and each new word is encoded once for the worker. Any other text, and any other tokenizer, goes through the library whole: texts that hold a special token, characters from U+0250 on, separators whose class differs between libraries, or that composition would change.
+    The tokenizer at hand composes, turns white space into blanks, lower-cases, parts a text by a pattern into words and then merges within words only, so that a word's last token is marked. A text in Latin script is parted here and each new word is encoded once for the worker. Any other text, and any other tokenizer, goes through the library whole: texts that hold a special token, characters from U+0250 on, capitals whose small letters are from there on, separators whose class differs between libraries, or that composition would change.
     """
 
     LIMIT = "\u0250"
@@ -46,7 +46,6 @@ class WordTokenizer:
         import json
         import unicodedata
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
@@ -63,17 +62,19 @@ class WordTokenizer:
             self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for token, i in self.tokenizer.get_vocab().items():
                 self.last[i] = token.endswith(mark)
-            special = [regex.escape(x["content"]) for x in rules["added_tokens"]]
-            self.odd = regex.compile("|".join([*special, r"[\x1c-\x1f\x85\xa0]"]))
+            self.special = [x["content"] for x in rules["added_tokens"]]
+            self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]")
             self.composed = lambda s: unicodedata.is_normalized("NFC", s)
 
     def ids(self, text: str | None) -> bytes:
         """The ids, little-endian, in ``kind``."""
         if not text:
             return self.end
-        if self.words is None or (not text.isascii() and (max(text) >= self.LIMIT or not self.composed(text))) or self.odd.search(text):
+        lower = text.lower()
+        # Some capitals below LIMIT have small letters above it.
+        if self.words is None or (not text.isascii() and (max(lower) >= self.LIMIT or not self.composed(text))) or self.odd.search(text) or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
-        words, known = self.words.findall(text.lower()), self.known
+        words, known = self.words.findall(lower), self.known
         if len(known) > self.kept:
             known.clear()
         if new := list(set(words).difference(known)):
