@@ -389,6 +389,18 @@ def test_personal_data_added_kinds(odd):
     assert {r["doc_id"]: r["text"] for r in pii.redacted(odd).collect()}[10] == "mail <email> or <phone>"
 
 
+def test_long_and_dotted_secrets(spark):
+    anchors = pii.automaton()
+    said = lambda t: [t[a:b] for k, a, b in pii.find(t, anchors) if k == "account"]
+    key, jwt = "k9" * 50, "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIxIn0" * 9 + ".dozjgNryP4J3jVmN-_x"
+    for cue in ("account", "api_key", "secret", "token"):
+        assert said(f'{cue}: "{key}".') == [key]
+    assert said("token = " + jwt + ". Next") == [jwt] and said("password=a.b7c.d!") == ["a.b7c.d"]
+    assert said("account: 1234567.Next") == ["1234567"] and said("secret: " + "x" * 70) == [] and said("token: a1.b2") == []
+    rows = spark.createDataFrame([(1, f"api_key={key} and token: {jwt}, end")], "doc_id long, text string")
+    assert pii.redacted(rows).first()["text"] == "api_key=<account> and token: <account>, end"
+
+
 # 8
 
 

@@ -11,7 +11,7 @@ Base kinds, with the spans that a leftmost non-overlapping search of the pattern
 
 Kinds that the method adds, from cues:
 
-* account  a value after a cue such as ``iban``, ``ssn``, ``account``, ``token`` and a separator; IBANs must pass the remainder test, other values hold a digit and 6 to 64 characters
+* account  a value after a cue such as ``iban``, ``ssn``, ``account``, ``token`` and a separator; IBANs must pass the remainder test, other values hold a digit and 6 characters or more, and end where their characters do; those of SECRETS go on over single dots
 * userinfo the part ``user`` or ``user:password`` before the at-sign of a URL with a scheme, and the address of ``mailto:`` and number of ``tel:`` links
 """
 
@@ -29,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("account", "userinfo")
 #: Cues of identifiers, lower case.
 CUES = ("iban", "ssn", "passport", "account", "acct", "token", "api_key", "apikey", "password", "passwd", "secret")
+#: Cues whose values may be dotted, as JSON web tokens are.
+SECRETS = frozenset(("token", "api_key", "apikey", "password", "passwd", "secret"))
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:", "tel:")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +40,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = frozenset("0123456789")
 _DOTTED, _SPACED = _DIGITS | {"."}, _DIGITS | {" ", "-"}
-_VALUE = re.compile(r"""[ ]{0,2}(?:number|no\.?|id)?[ ]{0,2}[:=#][ ]{0,2}["']?([A-Za-z0-9_+/-]{6,64})(?![A-Za-z0-9_+/-])""", re.IGNORECASE)
+_GIVEN = re.compile(r"""[ ]{0,2}(?:number|no\.?|id)?[ ]{0,2}[:=#][ ]{0,2}["']?""", re.IGNORECASE)
+_VALUE = re.compile(r"[A-Za-z0-9_+/-]+")
+_SECRET = re.compile(r"[A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]+)*")
 _IBAN = re.compile(r"[ ]{0,2}[:=#]?[ ]{0,2}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"([^\s/?#@]+)@")
 
@@ -115,8 +119,10 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[Span]:
                 continue
             if (m := _IBAN.match(text, last + 1)) and iban(m[1]):
                 found["account"].append(m.span(1))
-            elif (m := _VALUE.match(text, last + 1)) and any(c in _DIGITS for c in m[1]):
-                found["account"].append(m.span(1))
+            elif m := _GIVEN.match(text, last + 1):
+                value = _SECRET if lowered(text[begin : last + 1]) in SECRETS else _VALUE
+                if (m := value.match(text, m.end())) and len(m[0]) >= 6 and any(c in _DIGITS for c in m[0]):
+                    found["account"].append(m.span())
         else:
             scheme = lowered(text[last + 1 - length : last + 1])
             if scheme == "mailto:":
