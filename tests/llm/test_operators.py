@@ -26,7 +26,7 @@ from verdigris.llm.mixing import mix, mixed_documents, quotas, sainte_lague, tar
 from verdigris.llm.near_dedup import Shingler, near_dedup, sketches
 from verdigris.llm.packing import WordTokenizer, drr, pack, sequences
 from verdigris.llm.preferences import paired_conversations, preference_pairs
-from verdigris.llm.quality import accepted, classify
+from verdigris.llm.quality import accepted, classify, fit, shape
 
 SPACE = r"[\x20\x09-\x0D]+"
 ODD = [
@@ -516,6 +516,17 @@ def test_quality_odd_rows(odd, spark):
     assert classify(odd.limit(0), labels).count() == 0
 
 
+def test_labels_without_documents_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad bits there") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    few = docs.count()
+    assert (fit(docs, labels, sample=few) == fit(docs, labels)).all() and fit(docs, labels).any()
+
+
+def test_shapes_are_whole():
+    assert shape("a1" * 20 + "b") == "a9" * 20 + "a" and shape("x" * 40) == "a" and shape("a1" * 20) != shape("a1" * 30)
+
+
 # All
 
 

@@ -2,7 +2,7 @@ r"""Quality classifier: logistic regression on hashed word n-grams, trained with
 
 Features of a text: n-grams of its words ([^\x20\x09-\x0D]+) and n-grams of the words' shapes (letters, digits and other characters by class, runs squeezed), hashed into 2 ** BITS places; a word that repeats the one before it has a shape of its own. A feature's value is the square root of its share of all n-grams of its kind. Labels, lang, source and doc_id are never inputs.
 
-The model is fitted on a bounded sample of labelled rows: at most SAMPLE of those outside the held-out fold, the ones of least hash of doc_id, in one task. Scoring takes the weights (a few MB, of fixed size) to every task and reads every whole text.
+The model is fitted on a bounded sample of labelled rows: at most SAMPLE of those outside the held-out fold that have a document, the ones of least hash of doc_id, in one task. Scoring takes the weights (a few MB, of fixed size) to every task and reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 18
-SAMPLE = 5_000
-EPOCHS = 2
+SAMPLE = 10_000
+EPOCHS = 3
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 THRESHOLD = 0.7
@@ -30,7 +30,7 @@ _CLASSES = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ɏ]+
 def shape(word: str) -> str:
     for pattern, to in _CLASSES:
         word = pattern.sub(to, word)
-    return word[:16]
+    return word
 
 
 class Features:
@@ -99,7 +99,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """The weights; of zeros (all scores 1/2) where no row is labelled. Several labels of a doc_id count as the least; null labels are left out."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).where(~held_out("label_id") & F.col("y").isNotNull() & F.col("label_id").isNotNull())
-    chosen = known.groupBy("label_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    # Labels without a document do not use up the sample.
+    known = known.groupBy("label_id").agg(F.min("y").alias("y")).join(docs.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     # Broadcast: at most SAMPLE rows of 12 bytes.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").repartition(1)
 
