@@ -5,10 +5,13 @@ Each stage reads what the one before wrote and works on all of it. All but the l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdigris.llm.common import removed, scratch, table
+from verdigris.llm.common import removed, scratch, table, text_or_empty
 from verdigris.llm.exact_dedup import exact_dedup
 from verdigris.llm.mixing import mixed_documents
 from verdigris.llm.near_dedup import near_dedup
@@ -23,18 +26,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    return docs.join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], group: str, order: list[Column]) -> DataFrame:
+    """The rows that stay: of each group of the operator's the first by order, doc_id (null last) and row."""
+    spark = docs.sparkSession
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        return docs.join(operator(docs).where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Here doc_id does not tell rows apart; they get numbers, written down so that each keeps its own.
+    docs.withColumn("row number", F.monotonically_increasing_id()).write.parquet(path := scratch(spark, "numbered"))
+    rows = spark.read.parquet(path)
+    groups = operator(rows.select(F.col("row number").alias("doc_id"), "text")).select(F.col("doc_id").alias("row number"), F.col(group).alias("group"))
+    best = F.min(F.struct(*order, F.col("doc_id").isNull().alias("nameless"), "doc_id", "row number"))
+    first = rows.select("row number", "doc_id", "text").join(groups, "row number").groupBy("group").agg(best.alias("best")).select("best.row number")
+    return rows.join(first, "row number", "left_semi").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space one stays."""
-    return _without(docs, exact_dedup(docs))
+    """Of texts that are equal but for white space one stays, the longest and then that of smallest doc_id, whatever rows share a doc_id or have none."""
+    return _one_of_each(docs, exact_dedup, "keep_id", [(-F.char_length(text_or_empty())).alias("longest")])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays."""
-    return _without(docs, near_dedup(docs))
+    """Of each group of linked rows the one of smallest doc_id stays, whatever rows share a doc_id or have none."""
+    return _one_of_each(docs, near_dedup, "component_id", [])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

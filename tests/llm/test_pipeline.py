@@ -58,6 +58,26 @@ def test_near(stages):
     assert sorted(after) == sorted({c for _, c in brute_components(before.items()).values()})
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    a, b, c = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "red green blue white black brown"
+    data = [(1, a), (2, b), (2, a), (3, c), (3, c), (None, c), (None, "x y"), (None, "x  y"), (None, "z"), (9, "only")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = lambda stage: sorted(map(repr, ((r["doc_id"], r["text"]) for r in stage(spark, docs, DATA).collect())))
+    want = [(1, a), (2, b), (3, c), (None, "z"), (9, "only")]
+    assert kept(pipeline.exact) == sorted(map(repr, [*want, (None, "x  y")]))
+    assert [x.replace("  ", " ") for x in kept(pipeline.near)] == sorted(map(repr, [*want, (None, "x y")]))
+
+
+def test_pivots_with_several_texts_are_compared_by_each():
+    import pandas as pd
+
+    from verdigris.llm.near_dedup import _verified
+
+    a, b = "one two three four five six seven", "nine ten eleven twelve thirteen fourteen"
+    pairs = pd.DataFrame({"a": [5, 5, 6], "b": [1, 1, 1], "text_a": [b, b, a], "text_b": [a, b, a]})
+    assert next(_verified(5, 75)(iter([pairs]))).values.tolist() == [[5, 1], [6, 1]]
+
+
 def test_mixing(stages):
     from verdigris.llm.mixing import targets
 

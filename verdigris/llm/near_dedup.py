@@ -132,8 +132,8 @@ def _verified(words: int, percent: int):
         for pdf in batches:
             linked = []
             for b, text_a, text_b in zip(pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-                if b != last:  # rows of one pivot come together
-                    last, known = b, shingler.shingles(text_b)
+                if (b, text_b) != last:  # rows of one pivot come together; it may have several texts
+                    last, known = (b, text_b), shingler.shingles(text_b)
                 own = shingler.shingles(text_a)
                 both = len(np.intersect1d(own, known, assume_unique=True))
                 linked.append(bool(both) and 100 * both >= percent * (len(own) + len(known) - both))
