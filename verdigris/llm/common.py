@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,45 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 
 
+#: Arrow batches to Python workers stay below so many bytes, or hold a single row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, since 10,000 rows (the bound of Spark's own) can be of any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+class Kept(dict):
+    """What ``make`` gives for each word, kept for up to ``most`` words and as many before them. Words asked for again stay, so common ones do; words over LONGEST are made each time."""
+
+    LONGEST = 64
+
+    def __init__(self, make: Callable, most: int = 1 << 17) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if (value := self.old.get(word)) is None:
+            value = self.make(word)
+        if len(word) <= self.LONGEST:
+            self[word] = value
+        return value
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is unset (as in tests on one machine), a temporary folder takes its place and is set as the checkpoint folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder takes its place in local mode, where one machine does all; on a cluster that is an error."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="verdigris-"))
         return context._jsc.sc().getCheckpointDir().get()
     if context._jsc.sc().getCheckpointDir().isEmpty():
