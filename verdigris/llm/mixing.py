@@ -2,9 +2,9 @@ r"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-tok
 
 1. Targets: the sources, in code point order (null last), have weights that repeat a cycle. They share ``percent`` of all words; a target stops at CAP times its source's size and the excess goes to the others by weight, until none is above.
 2. Blocks: the targets' words are seats that sources get by highest quotients target / (2k + 1) (Sainte-Laguë), which rounds them so that they add up. A block is BLOCK_WORDS words. A source's whole blocks go to its shards by highest quotients of the shards' words; what is left, and what shards have no room for as whole blocks, goes to the next quotients as short blocks. So a source gives its target to the word.
-3. Selection: a shard's documents are put in an order by a seeded hash and laid end to end as a ring of words. The quota's blocks are laid along the ring, once around for each full repeat. What blocks cover of a document is taken from its start on; no document is taken more than CAP times.
+3. Selection: a shard's documents are put in an order by a seeded hash and laid end to end as a ring of words, cut into blocks. The seed draws the block at which the quota begins; from there the quota's blocks go along the ring, once around for each full repeat, so documents are cut at the two ends of the run alone. What blocks cover of a document is taken from its start on; no document is taken more than CAP times.
 
-A shard is a share of a source's documents by a hash of doc_id, so a hot source is spread over many shards and a small one is whole. The driver holds a row for each source, and one task the shards of one source.
+A shard is a share of a source's documents by a hash of doc_id and text, so a hot source, or rows of one doc_id or none, are spread over many shards and a small source is whole. Only rows that repeat both are in one shard. The driver holds a row for each source, and one task the shards of one source.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches, written
 
 WEIGHTS = (3, 1, 2)
 PERCENT = 150
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     Each source's ``taken`` add up to its target, rounded. A null text has no words; a document without words is taken 0 times. A null source is a source of its own, the last. Repeated rows are documents of their own, in the order of their text's hash. The same rows and seed give the same result, however they are partitioned. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), (F.lit(0) if carried is None else carried).alias("carried"))
     if carried is None:
         sized = cut(sized)  # narrow rows; what is carried is read again instead
@@ -123,17 +124,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     given = sainte_lague(wanted, round(sum(wanted)), [x * cap for x in sizes])
     shards = [max(1, min(r["n"] // SMALL_SHARD, r["size"] // (SHARD_BLOCKS * block_words), SHARDS), r["n"] // LARGE_SHARD) for r in totals]
     schema = "source string, source_no int, source_size bigint, target double, words bigint, shards bigint"
-    sources = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], given[i], shards[i]) for i, r in enumerate(totals)], schema)
-    # Broadcast: a row for each source, as the driver holds them.
-    placed = sized.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int"))
+    # Written, so that the optimizer knows its size.
+    sources = written(spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], given[i], shards[i]) for i, r in enumerate(totals)], schema).coalesce(1), "sources")
+    placed = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards")).cast("int"))
     each = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
-    dealt = each.join(F.broadcast(sources.select("source_no", "words")), "source_no").groupBy("source_no").applyInPandas(_quotas(block_words, cap), "source_no int, shard int, shard_size bigint, quota bigint")
+    dealt = each.join(sources.select("source_no", "words"), "source_no").groupBy("source_no").applyInPandas(_quotas(block_words, cap), "source_no int, shard int, shard_size bigint, quota bigint")
     ring = W.partitionBy("source_no", "shard").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = placed.withColumn("end", F.sum("size").over(ring)).join(dealt, ["source_no", "shard"])
-    rest = F.col("quota") % F.greatest("shard_size", F.lit(1))
-    repeats = F.floor(F.col("quota") / F.greatest("shard_size", F.lit(1))).cast("long")
-    part = F.least(F.greatest(rest - (F.col("end") - F.col("size")), F.lit(0)), F.col("size"))
+    around = F.greatest("shard_size", F.lit(1))
+    rest, repeats = F.col("quota") % around, F.floor(F.col("quota") / around).cast("long")
+    # The run of blocks that the rest is, from the drawn one on; what goes beyond the ring's end goes on at its beginning.
+    begin = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.ceil(around / block_words).cast("long")) * block_words
+    start = F.col("end") - F.col("size")
+    covered = lambda low, high: F.greatest(F.least(F.col("end"), high) - F.greatest(start, low), F.lit(0).cast("long"))
+    part = covered(begin, F.least(begin + rest, around)) + covered(F.lit(0).cast("long"), begin + rest - around)
     return laid.select("doc_id", "size", "source_size", "target", (repeats * F.col("size") + part).cast("long").alias("taken"), "source", *([] if carried is None else ["carried"]))
 
 
