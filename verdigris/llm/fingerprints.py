@@ -8,7 +8,11 @@ The sample is the (k, t) of the least a. Two documents agree on a sample with pr
 
 Within a row, a sample's (a, k, t) is one long: ln a in fixed point above 32 bits of hash(k, t). The fingerprint is then a plain minimum per sample, one hash aggregate over the terms in generated code, and a row's terms stay in the partition of their document, so nothing is shuffled for them.
 
-Neighbours in the order of doc_id come from blocks of consecutive identifiers, cut at quantiles. A block gets a copy of the next block's first row, so that the next text and the next fingerprint are found within the block and the texts are shuffled once.
+A term that weighs as much in the edited text as in the text is drawn once for both.
+
+Neighbours in the order of doc_id come from blocks of consecutive identifiers of at most about BLOCK_ROWS rows, cut at quantiles; an identifier (or none) that more rows share is cut further by the hash of their texts. A block gets a copy of the next block's first row, so that the next text and the next fingerprint are found within the block and the texts are shuffled once. The driver holds a few numbers for each block, so eight bytes or so for BLOCK_ROWS whole texts.
+
+Draws come from quantile tables (see ``Draws``), which cut both tails of r and the upper tail of c at a chance of 1 in 2048 each; the tests hold the collision rate against exact similarities.
 """
 
 from __future__ import annotations
@@ -23,26 +27,38 @@ from .common import SPACES_RE, text_or_empty
 SAMPLES = 64
 #: Samples are drawn in chunks, a row for each term and chunk, so that the aggregate's generated code stays small enough for the JVM to compile.
 CHUNK = 4
-#: At most as many blocks (the driver holds one boundary each), of about so many rows.
-MOST_BLOCKS = 4096
-BLOCK_ROWS = 24
+#: Rows of a block: at most about so many, and fewer where each partition would not have BLOCKS_EACH of them; but LEAST_ROWS.
+BLOCK_ROWS, BLOCKS_EACH, LEAST_ROWS = 32_768, 16, 24
 
 _LOW32 = 0xFFFFFFFF
 
 
-def tagged_words(text: Column, tag: int) -> Column:
-    """A hash of each word, with the lowest bit set to the tag."""
+#: Bits of a term's hash, and of its count below that; a text of so many words does not fit in a row.
+TERM_BITS, COUNT_BITS = 33, 30
+
+
+def word_hashes(text: Column) -> Column:
+    """The hash of each word, in order of the hashes, with room for a count below."""
     words = F.filter(F.split(text, SPACES_RE), lambda w: w != "")
-    return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(tag).cast("long")))
+    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.shiftrightunsigned(F.xxhash64(w), 64 - TERM_BITS), COUNT_BITS)))
 
 
-def weighted_terms(tagged: str) -> Column:
-    """(term, w0, w1) of each distinct term in the sorted array column: its counts under tag 0 and 1."""
-    s, n = F.col(tagged), F.size(tagged)
-    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i), 1) != F.shiftright(F.get(s, i - 1), 1)))
+def beginnings(hashes: str) -> Column:
+    """The places in the sorted array column where a run of one term begins, and its end."""
+    s, n = F.col(hashes), F.size(hashes)
+    begins = F.filter(F.sequence(F.lit(0), n), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
     return F.when(n > 0, begins).otherwise(F.array().cast("array<int>"))
 
 
+def weighted_terms(hashes: str, begins: str) -> Column:
+    """Each distinct term with its count, in one number."""
+    s, at = F.col(hashes), F.col(begins)
+    return F.transform(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), lambda b, i: F.get(s, b) + (F.get(at, i + 1) - b))
+
+
+BOTH, TEXT, EDITED = 0, 1, 2
+
+
 def gamma_quantiles(p: np.ndarray) -> np.ndarray:
     """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
     low, high = np.zeros_like(p), np.full_like(p, 64.0)
@@ -84,79 +100,86 @@ class Draws:
         return F.shiftleft(fixed, 32).bitwiseOR(F.hash(term, t).cast("long").bitwiseAND(F.lit(_LOW32).cast("long")))
 
 
-def blocks(docs: DataFrame) -> tuple[Column, DataFrame | None]:
-    """The block of a row, as a column of doc_id (-1 for null), and a row (block, first_id) for each block but the last, with block the one before it in descending order; the last block points to the first one."""
+def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with block, place and turn, and a table of edges.
+
+    Blocks are ranges of doc_id, -1 is for null. Within a block, place 0 has the rows of common identifiers; an identifier of more rows than a block's is its block's least and has places of its own, by ranges of turn, 31 bits of the text's hash. Rows go by block, descending, then place, then identifier, descending, then turn. An edge (block, place, doc_id, turn, to_block, to_place) is the first row of a cell and the cell before it, which needs that row too; the last cell is before the first one.
+    """
     spark = docs.sparkSession
     n = docs.count()
-    many = 1
-    while many < MOST_BLOCKS and many * BLOCK_ROWS < n:
-        many *= 2
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)] or [0.5], 10 * MOST_BLOCKS)).first()[0] or []
+    rows = max(LEAST_ROWS, min(BLOCK_ROWS, n // (BLOCKS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    many = max(1, -(-n // rows))
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)] or [0.5], 10 * many)).first()[0] or []
     bounds = sorted(set(bounds))
-    if bounds:
-        # Binary search: the number of bounds that do not exceed doc_id.
-        steps, size = [], 1
-        while size <= len(bounds):
-            steps.insert(0, size)
-            size *= 2
-        held = F.array(*map(F.lit, bounds)) if len(bounds) < 2 else F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else f'cast({x} as bigint)' for x in bounds)})")
-        below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(held, at + step - 1) <= F.col("doc_id"), F.lit(False)), step).otherwise(F.lit(0)))
-        block = F.when(F.col("doc_id").isNull(), -1).otherwise(below).cast("int")
-    else:
-        block = F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("int")
-    firsts = sorted(((r["block"], r["first"]) for r in docs.groupBy(block.alias("block")).agg(F.max("doc_id").alias("first")).collect()), reverse=True)
-    if not firsts:
-        return block, None
-    rows = [(b, *firsts[(i + 1) % len(firsts)]) for i, (b, _) in enumerate(firsts)]
-    return block, spark.createDataFrame(rows, "for int, block int, first bigint")
+    # One literal, whatever the number of blocks; then the number of bounds that do not exceed doc_id, by binary search.
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(held, at + step - 1) <= F.col("doc_id"), F.lit(False)), step).otherwise(F.lit(0)))
+    block = F.when(F.col("doc_id").isNull(), -1).otherwise(below).cast("int")
+    # At most n / rows identifiers have more rows than a block.
+    hot = docs.groupBy("doc_id").agg(F.count("*").alias("m")).where(F.col("m") > 2 * rows).select(F.col("doc_id").alias("hot_id"), F.ceil(F.col("m") / rows).cast("long").alias("cells"))
+    hot = spark.createDataFrame(hot.collect(), "hot_id bigint, cells bigint")
+    turn = F.shiftrightunsigned(F.xxhash64("text"), 33)
+    placed = docs.select("*", block.alias("block"), turn.alias("turn")).join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+    place = F.coalesce(F.shiftright(F.col("turn") * F.col("cells"), 31) + 1, F.lit(0)).cast("int")
+    placed = placed.select("doc_id", "text", "block", place.alias("place"), "turn")
+    # Of a cell the first row: identifiers fall, turns rise.
+    first = F.max(F.struct("doc_id", (-F.col("turn")).alias("turn")))
+    cells = sorted(((-r["block"], r["place"], r["first"]) for r in placed.groupBy("block", "place").agg(first.alias("first")).collect()), key=lambda c: c[:2])
+    if not cells:
+        return placed, None
+    edges = [(-b, p, f["doc_id"], -f["turn"], -cells[i - 1][0], cells[i - 1][1]) for i, (b, p, f) in enumerate(cells)]
+    return placed, spark.createDataFrame(edges, "in_block int, in_place int, first_id bigint, first_turn bigint, to_block int, to_place int")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text is the text whose last floor(n_chars / 3) code points are replaced by the first as many (or all) of the next document, in descending order of doc_id; the first document follows the last. Null texts count as empty. Rows of one doc_id follow each other by text, null identifiers come last. A text without words has the fingerprint of the empty set: likeness 1 to another empty one, 0 to all others. A single document is its own next one; an empty table gives no rows. Other columns are not read.
+    The edited text is the text whose last floor(n_chars / 3) code points are replaced by the first as many (or all) of the next document, in descending order of doc_id; the first document follows the last. Null texts count as empty. Rows of one doc_id follow each other by their texts' hashes, null identifiers come last; rows that repeat one doc_id and text are alike and in one block. A text without words has the fingerprint of the empty set: likeness 1 to another empty one, 0 to all others. A single document is its own next one; an empty table gives no rows. Other columns are not read.
     """
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
-    block, edges = blocks(docs.select("doc_id"))
-    placed = docs.select(block.alias("block"), "doc_id", "text", F.lit(False).alias("ghost"))
+    placed, edges = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    placed = placed.withColumn("ghost", F.lit(False))
     if edges is not None:
-        # At most MOST_BLOCKS rows: the first text of each block.
-        first = placed.alias("p").join(F.broadcast(edges.alias("e")), (F.col("p.block") == F.col("e.block")) & F.col("p.doc_id").eqNullSafe(F.col("e.first")))
-        first = first.groupBy("for", "p.doc_id").agg(F.max("text").alias("text"))
-        placed = placed.unionByName(first.select(F.col("for").alias("block"), "doc_id", "text", F.lit(True).alias("ghost")))
+        # A row for each cell, as the driver holds them.
+        same = (F.col("block") == F.col("in_block")) & (F.col("place") == F.col("in_place")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("turn") == F.col("first_turn"))
+        firsts = placed.join(F.broadcast(edges), same).groupBy(F.col("to_block").alias("block"), F.col("to_place").alias("place"), "doc_id", "turn").agg(F.min("text").alias("text"))
+        placed = placed.unionByName(firsts.withColumn("ghost", F.lit(True)))
     # Dealt out here, by number: the work is in the terms, so partitions must not be merged for their few bytes.
-    placed = placed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
-    order = W.partitionBy("block").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
+    placed = placed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "place")
+    order = W.partitionBy("block", "place").orderBy("ghost", F.desc_nulls_last("doc_id"), "turn", "text")
     size, third = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
+    # What belongs to the document travels as whole numbers, which a hash aggregate keeps in place.
+    key = ["block", "place", "at"]
+    words = [F.conv(F.substring("edited_sha256", 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"w{k}") for k in range(4)]
+    held = ["ghost", "doc_id", "n_chars", *(f"w{k}" for k in range(4))]
     rows = (
         placed.withColumn("at", F.row_number().over(order))
         .withColumn("next_text", F.lead("text").over(order))
-        .select("block", "at", "ghost", "doc_id", "text", size.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), size - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third)).alias("edited"))
+        .select(*key, F.col("ghost").cast("int").alias("ghost"), "doc_id", "text", size.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), size - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third)).alias("edited"))
+        .select(*key, "ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), word_hashes(F.col("text")).alias("h0"), word_hashes(F.col("edited")).alias("h1"))
+        .select(*key, "ghost", "doc_id", "n_chars", *words, "h0", "h1", beginnings("h0").alias("b0"), beginnings("h1").alias("b1"))
+        .select(*key, *held, weighted_terms("h0", "b0").alias("t0"), weighted_terms("h1", "b1").alias("t1"))
     )
-    rows = rows.select("block", "at", "ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sort_array(F.concat(tagged_words(F.col("text"), 0), tagged_words(F.col("edited"), 1))).alias("tagged"))
-    rows = rows.withColumn("begins", weighted_terms("tagged"))
-    s, begins = F.col("tagged"), F.col("begins")
-    # A row for each run of equal terms; an empty document keeps one row, which gives no sample.
-    runs = rows.select("block", "at", "ghost", "doc_id", "n_chars", "edited_sha256", F.explode_outer(F.transform(begins, lambda b, i: F.struct(F.shiftright(F.get(s, b), 1).alias("term"), F.slice(s, b + 1, F.coalesce(F.get(begins, i + 1), F.size(s)) - b).alias("run")))).alias("x"))
-    edits = F.aggregate("x.run", F.lit(0), lambda a, v: a + v.bitwiseAND(F.lit(1).cast("long")).cast("int"))
-    terms = runs.select("block", "at", "ghost", "doc_id", "n_chars", "edited_sha256", F.col("x.term").alias("term"), F.size("x.run").alias("n"), edits.alias("edits"))
-    log_of = lambda w: F.when(w > 0, F.ln(w.cast("double")))
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(samples // CHUNK - 1))).alias("chunk")
-    # What belongs to the document travels as whole numbers, which a hash aggregate keeps in place.
-    words = [F.conv(F.substring("edited_sha256", 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"w{k}") for k in range(4)]
-    held = ["ghost", "doc_id", "n_chars", *(f"w{k}" for k in range(4))]
-    terms = terms.select("block", "at", "term", log_of(F.col("n") - F.col("edits")).alias("l0"), log_of(F.col("edits")).alias("l1"), F.col("ghost").cast("int").alias("ghost"), "doc_id", "n_chars", *words)
-    terms = terms.select("*", chunks).withColumn("drawn", F.xxhash64("term", "chunk"))
+    # A term that has one count in both texts is drawn once. Of an empty list a row stays, which gives no sample.
+    lists = [(BOTH, F.array_intersect("t0", "t1")), (TEXT, F.array_except("t0", "t1")), (EDITED, F.array_except("t1", "t0"))]
+    terms = rows.select(*key, *held, F.explode(F.array(*(F.struct(F.lit(of).alias("of"), t.alias("t")) for of, t in lists))).alias("x"))
+    terms = terms.select(*key, *held, F.col("x.of").alias("of"), F.explode_outer("x.t").alias("t"))
+    weight = F.col("t").bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long"))
+    terms = terms.select(*key, *held, "of", F.shiftright("t", COUNT_BITS).alias("term"), F.ln(weight.cast("double")).alias("log_weight"))
+    terms = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // CHUNK - 1))).alias("chunk")).withColumn("drawn", F.xxhash64("term", "chunk"))
     draws = Draws()
-    drawn = [F.min(draws.sample(F.col("drawn"), F.col(f"l{w}"), i)).alias(f"s{w}_{i}") for i in range(CHUNK) for w in (0, 1)]
-    found = terms.groupBy("block", "at", "chunk").agg(*drawn, *(F.max(c).alias(c) for c in held))
+    # The document's own columns are keys, since that costs less than to aggregate them; so the code of the innermost loop stays small enough to be compiled.
+    drawn = [draws.sample(F.col("drawn"), F.col("log_weight"), i).alias(f"x{i}") for i in range(CHUNK)]
+    found = terms.select(*key, *held, "chunk", "of", *drawn).groupBy(*key, *held, "chunk", "of").agg(*(F.min(f"x{i}").alias(f"x{i}") for i in range(CHUNK)))
+    least = [F.min(F.when(F.col("of") != other, F.col(f"x{i}"))).alias(f"s{w}_{i}") for i in range(CHUNK) for w, other in ((0, EDITED), (1, TEXT))]
+    found = found.groupBy(*key, *held, "chunk").agg(*least)
     bits = lambda w: F.array(*((F.col(f"s{w}_{i}").bitwiseAND(F.lit(_LOW32).cast("long")) - (1 << 31)).cast("int") for i in range(CHUNK)))
-    found = found.select("block", "at", "chunk", bits(0).alias("sig"), bits(1).alias("edited_sig"), *held)
+    found = found.select(*key, *held, "chunk", bits(0).alias("sig"), bits(1).alias("edited_sig"))
     # A document's chunks in order; they are in one partition already.
-    found = found.groupBy("block", "at").agg(F.sort_array(F.collect_list(F.struct("chunk", "sig", "edited_sig"))).alias("parts"), *(F.max(c).alias(c) for c in held))
+    found = found.groupBy(*key, *held).agg(F.sort_array(F.collect_list(F.struct("chunk", "sig", "edited_sig"))).alias("parts"))
     digits = lambda sig: F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(F.coalesce(x.cast("long") + (1 << 31), F.lit(0))), 8, "0")), ""))
     sha = F.lower(F.concat(*(F.lpad(F.hex(f"w{k}"), 16, "0") for k in range(4)))).alias("edited_sha256")
-    found = found.select("block", "at", (F.col("ghost") == 1).alias("ghost"), "doc_id", "n_chars", sha, F.flatten(F.col("parts.sig")).alias("sig"), F.flatten(F.col("parts.edited_sig")).alias("edited_sig"))
-    found = found.withColumn("next_sig", F.lead("sig").over(W.partitionBy("block").orderBy("at")))
+    found = found.select(*key, (F.col("ghost") == 1).alias("ghost"), "doc_id", "n_chars", sha, F.flatten(F.col("parts.sig")).alias("sig"), F.flatten(F.col("parts.edited_sig")).alias("edited_sig"))
+    found = found.withColumn("next_sig", F.lead("sig").over(W.partitionBy("block", "place").orderBy("at")))
     near = lambda other: F.aggregate(F.zip_with("sig", other, lambda a, b: a.eqNullSafe(b).cast("int")), F.lit(0), lambda a, v: a + v) / float(samples)
     return found.where("not ghost").select("doc_id", "n_chars", "edited_sha256", digits(F.col("sig")).alias("fingerprint"), digits(F.col("edited_sig")).alias("edited_fingerprint"), near("edited_sig").alias("near_edited"), near("next_sig").alias("near_next"))
