@@ -1,17 +1,19 @@
 """256-bit perceptual hashes: parsing, Hamming distance, and nearest blocked hash within a threshold.
 
-The join is banded: of 16 bands of 16 bits, two hashes that differ in at most 15 bits agree on one, and with at most 31 bits some band differs in one bit at most. So up to 15 the bands, up to 31 the bands and their one-bit neighbours are joined by equality; beyond that every pair is compared.
+The join is banded: of 16 bands of 16 bits, two hashes that differ in at most 15 bits agree on one, with at most 31 bits some band differs in one bit at most, and with at most 47 in two. So bands are joined by equality, those of the blocked hashes with their neighbours of up to that many bits; the queries, the side that grows, have 16 rows each whatever the threshold. From 48 bits on every pair is compared: three-bit neighbours would be a sixth of all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BANDS = 16
 BITS = 256
-EXACT_BELOW = 16
-BANDED_BELOW = 32
+#: From this threshold on no band need be within two bits.
+BANDED_BELOW = 48
 #: Gates of the matcher: quality must exceed the one, distance must not exceed the other.
 QUALITY_THRESHOLD = 49
 DISTANCE_THRESHOLD = 31
@@ -37,17 +39,15 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def bands(value: Column) -> Column:
-    """(band, value) of a hash."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.conv(F.substring(value, i * 4 + 1, F.lit(4)), 16, 10).cast("int").alias("value")))
+    """The 16 bands of an array of words, each as one number: place above 16 bits of the hash."""
+    at = lambda k: F.shiftrightunsigned(F.get(value, F.lit(k // 4)), 48 - 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF).cast("bigint")).cast("int")
+    return F.array(*(at(k).bitwiseOR(F.lit(k << 16)) for k in range(BANDS)))
 
 
-def probes(value: Column, neighbours: bool) -> Column:
-    """The bands to look up: as they are, and with ``neighbours`` each also with one bit flipped."""
-    own = bands(value)
-    if not neighbours:
-        return own
-    flipped = F.flatten(F.transform(own, lambda b: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(b["band"].alias("band"), b["value"].bitwiseXOR(F.expr("1") * F.pow(F.lit(2), k).cast("int")).alias("value")))))
-    return F.concat(own, flipped)
+def probes(value: Column, flips: int) -> Column:
+    """The bands to look up: as they are, and with up to ``flips`` bits flipped."""
+    masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(16), n)]
+    return F.flatten(F.transform(F.array(*map(F.lit, masks)), lambda m: F.transform(bands(value), lambda b: b.bitwiseXOR(m))))
 
 
 def nearest(queries: DataFrame, blocked: DataFrame, threshold: int, key: str = "id", value: str = "hash") -> DataFrame:
@@ -57,25 +57,23 @@ def nearest(queries: DataFrame, blocked: DataFrame, threshold: int, key: str = "
     """
     if not 0 <= threshold <= BITS:
         raise ValueError("threshold must be between 0 and 256")
-    wanted = queries.select(F.col(key), F.lower(F.col(value)).alias("hash")).where(is_hash(F.col("hash")))
-    index = blocked.select(F.lower(F.col(value)).alias("blocked_hash")).where(is_hash(F.col("blocked_hash"))).distinct()
-    each = wanted.select("hash").distinct()
-    exact = each.join(index, each["hash"] == index["blocked_hash"], "left_semi").select("hash", F.lit(0).alias("distance"))
-    rest = each.join(index, each["hash"] == index["blocked_hash"], "left_anti")
+    parsed = lambda df, name: df.select("*", words(F.col(name)).alias("w")).where("w is not null")
+    wanted = parsed(queries.select(F.col(key), F.col(value).alias("hash")), "hash").select(key, "w")
+    index = parsed(blocked.select(F.col(value).alias("hash")), "hash").select(F.col("w").alias("x")).distinct()
+    each = wanted.select("w").distinct()
+    exact = each.join(index, F.col("w") == F.col("x"), "left_semi").select("w", F.lit(0).alias("distance"))
+    rest = each.join(index, F.col("w") == F.col("x"), "left_anti")
     if threshold == 0:
         found = exact
-    elif threshold < BANDED_BELOW:
-        neighbours = threshold >= EXACT_BELOW
-        left = rest.select("hash", words(F.col("hash")).alias("w"), F.explode(probes(F.col("hash"), neighbours)).alias("p")).select("hash", "w", "p.band", "p.value")
-        right = index.select(words(F.col("blocked_hash")).alias("x"), F.explode(bands(F.col("blocked_hash"))).alias("p")).select("x", "p.band", "p.value")
-        near = left.join(right, ["band", "value"]).select("hash", distance(F.col("w"), F.col("x")).alias("distance")).where(F.col("distance") <= threshold)
-        found = exact.unionByName(near.groupBy("hash").agg(F.min("distance").alias("distance")))
     else:
-        # Beyond 31 bits no band need agree: every hash is compared with every blocked one.
-        left, right = rest.select("hash", words(F.col("hash")).alias("w")), index.select(words(F.col("blocked_hash")).alias("x"))
-        near = left.join(right, distance(F.col("w"), F.col("x")) <= threshold).select("hash", distance(F.col("w"), F.col("x")).alias("distance"))
-        found = exact.unionByName(near.groupBy("hash").agg(F.min("distance").alias("distance")))
-    return wanted.join(found, "hash").select(key, "distance")
+        if threshold < BANDED_BELOW:
+            left = rest.select("w", F.explode(bands(F.col("w"))).alias("band"))
+            pairs = left.join(index.select("x", F.explode(probes(F.col("x"), threshold // BANDS)).alias("band")), "band")
+        else:
+            pairs = rest.join(index, distance(F.col("w"), F.col("x")) <= threshold)
+        near = pairs.select("w", distance(F.col("w"), F.col("x")).alias("distance")).where(F.col("distance") <= threshold)
+        found = exact.unionByName(near.groupBy("w").agg(F.min("distance").alias("distance")))
+    return wanted.join(found, "w").select(key, "distance")
 
 
 def match_signal(hashes: DataFrame, blocked: DataFrame, quality: int = QUALITY_THRESHOLD, threshold: int = DISTANCE_THRESHOLD, key: str = "content_id") -> DataFrame:
@@ -115,3 +113,31 @@ def with_bit(value: Column, bit: int, flip: bool = False) -> Column:
     mask -= (1 << 64) if mask >= 1 << 63 else 0
     change = lambda w: w.bitwiseXOR(F.lit(mask).cast("bigint")) if flip else w.bitwiseOR(F.lit(mask).cast("bigint"))
     return F.transform(value, lambda w, i: F.when(i == word, change(w)).otherwise(w))
+
+
+def order_key(value: Column) -> Column:
+    """What hashes are ordered by: their 16-bit words as signed numbers, the last word first."""
+    word = lambda k: F.shiftright(F.shiftleft(F.get(value, F.lit(k // 4)), 16 * (k % 4)), 48).cast("int")
+    return F.array(*(word(k) for k in reversed(range(BANDS))))
+
+
+def fuzzed(value: Column, flips: int, seed: int = 0) -> Column:
+    """The hash with ``flips`` bits flipped one after the other, at places drawn by seed and hash; a place may be drawn twice, and is then as before."""
+    bit = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(i), value), F.lit(BITS))
+    mask = lambda i, word: F.when(F.floor(bit(i) / 64) == word, F.expr("1L")).otherwise(F.expr("0L"))
+    out = value
+    for i in range(flips):
+        masks = F.array(*(F.call_function("shiftleft", mask(i, k), F.pmod(bit(i), F.lit(64)).cast("int")) for k in range(4)))
+        out = F.zip_with(out, masks, lambda w, m: w.bitwiseXOR(m))
+    return out
+
+
+def printed(value: Column, form: str) -> Column:
+    """A hash as ``longs`` (four signed numbers), ``words`` (sixteen of four digits), ``bits`` (sixteen lines of bits, each after a blank) or ``across`` (these in one line)."""
+    if form == "longs":
+        return F.array_join(F.transform(value, lambda w: w.cast("string")), " ")
+    if form == "words":
+        return F.trim(F.regexp_replace(hexed(value), "(.{4})", "$1 "))
+    digits = F.array_join(F.transform(value, lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    spaced = F.regexp_replace(digits, "(.)", " $1")
+    return spaced if form == "across" else F.rtrim(F.regexp_replace(spaced, "(.{32})", "$1\n"), F.lit("\n"))
