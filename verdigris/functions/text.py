@@ -30,7 +30,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-_nfkc_udf = F.pandas_udf(_nfkc, StringType())
+# Declared not deterministic, although it is: the optimizer then keeps what is made of it in one place instead of copying long expressions to wherever they are named.
+_nfkc_udf = F.pandas_udf(_nfkc, StringType()).asNondeterministic()
 
 
 def nfkc(text: Column) -> Column:

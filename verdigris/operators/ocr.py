@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import is_blank, nfkc, utf16_cut, utf16_length
+from verdigris.functions.text import is_blank, let, nfkc, utf16_cut, utf16_length
 
 LABEL = "Image text:\n"
 MOST_TEXT = 20_000
@@ -29,16 +29,20 @@ def normalized(raw: Column, most: int = MOST_TEXT) -> Column:
     composed = nfkc(raw)
     controls = F.regexp_replace(composed, r"[\p{javaISOControl}&&[^\p{javaWhitespace}\p{javaSpaceChar}]]|\p{Cs}", "")
     text = F.trim(F.regexp_replace(controls, r"[\p{javaWhitespace}\p{javaSpaceChar}]+", " "))
-    return F.when(raw.isNull() | is_blank(raw), "").otherwise(utf16_cut(text, most))
+    return F.when(raw.isNull() | is_blank(raw), "").otherwise(let(text, lambda t: utf16_cut(t, most)))
 
 
 def result(raw: Column, enabled: bool = True, available: bool = True, failed: Column | None = None, busy: Column | None = None, most: int = MOST_TEXT) -> Column:
     """A struct (status, text): disabled, error, busy, no_text or ok; the text only when ok."""
-    text = normalized(raw, most)
-    status = F.lit("disabled") if not enabled else F.lit("error") if not available else None
-    if status is None:
-        status = F.when(F.coalesce(busy, F.lit(False)) if busy is not None else F.lit(False), "busy").when(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False), "error").when(text == "", "no_text").otherwise("ok")
-    return F.struct(status.alias("status"), F.when(status == "ok", text).alias("text"))
+    told = lambda flag: F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    if not enabled or not available:
+        return F.struct(F.lit("error" if enabled else "disabled").alias("status"), F.lit(None).cast("string").alias("text"))
+
+    def both(text: Column) -> Column:
+        status = F.when(told(busy), "busy").when(told(failed), "error").when(text == "", "no_text").otherwise("ok")
+        return F.struct(status.alias("status"), F.when(status == "ok", text).alias("text"))
+
+    return let(normalized(raw, most), both)
 
 
 def analysis_text(text: Column, status: Column, ocr_text: Column, most: int = MOST_TEXT) -> Column:

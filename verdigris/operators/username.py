@@ -62,14 +62,16 @@ def username_violation(text: Column, terms: Sequence[Term]) -> Column:
     def identity(normalized: Column) -> Column:
         return let(latin_skeleton(normalized), lambda s: reserved_identity(normalized, CYRILLIC_ROLES, CYRILLIC_HARMLESS) | reserved_identity(s, LATIN_ROLES, LATIN_HARMLESS) | staff_identity(normalized, s))
 
-    reserved = let(username_normalized(text), identity)
-    judged = F.when(~said.isin("NONE", "IMPERSONATION"), said).when(reserved | (said == "IMPERSONATION"), "IMPERSONATION").otherwise("NONE")
-    return F.when(text.isNull() | is_blank(text), "NONE").otherwise(judged)
+    def judged(x: Column) -> Column:
+        return F.when(~x["said"].isin("NONE", "IMPERSONATION"), x["said"]).when(x["reserved"] | (x["said"] == "IMPERSONATION"), "IMPERSONATION").otherwise("NONE")
+
+    both = F.struct(said.alias("said"), let(username_normalized(text), identity).alias("reserved"))
+    return F.when(text.isNull() | is_blank(text), "NONE").otherwise(let(both, judged))
 
 
 def local_violation(content_type: Column, text: Column, terms: Sequence[Term]) -> Column:
     """Of COMMENT the dictionary's violation, IMPERSONATION counting as none; of USERNAME the policy's; of POST none."""
     # Texts that a branch does not need are null there, so that Python normalises nothing in vain.
     comment, name = F.when(content_type == "COMMENT", text), F.when(content_type == "USERNAME", text)
-    said = banned_violation(comment, terms)
-    return F.when(content_type == "COMMENT", F.when(said == "IMPERSONATION", "NONE").otherwise(said)).when(content_type == "USERNAME", username_violation(name, terms)).otherwise("NONE")
+    said = let(banned_violation(comment, terms), lambda v: F.when(v == "IMPERSONATION", "NONE").otherwise(v))
+    return F.when(content_type == "COMMENT", said).when(content_type == "USERNAME", username_violation(name, terms)).otherwise("NONE")

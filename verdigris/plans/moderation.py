@@ -19,12 +19,6 @@ MEDIA = "content_id string, media_status string, matched boolean, quality_accept
 ANSWERS = "content_id string, moderation_raw string, classification_raw string"
 
 
-def settled_by_name(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records whose name alone decides, and the others; only these need any provider."""
-    hit = (F.col("content_type") == "USERNAME") & (F.col("local_violation") != "NONE")
-    return records.where(hit), records.where(~hit)
-
-
 def moderate(
     requests: DataFrame,
     media: DataFrame,
@@ -43,21 +37,23 @@ def moderate(
     records = requests.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("image_bytes", size)
     good, rejects = split_by_fault(records, request_fault(F.col("content_id"), F.col("content_type"), F.col("text"), F.col("image_bytes")))
     good = good.withColumn("content_type", parsed_type(F.col("content_type"))).drop("image")
-    good = good.withColumn("local_violation", local_violation(F.col("content_type"), F.col("text"), terms))
-    named, rest = settled_by_name(good)
     nothing = F.lit(None).cast("string")
-    settled = named.select("content_id", "content_type", F.lit("BLOCK").alias("decision"), F.col("local_violation").alias("violation"), nothing.alias("investment"), nothing.alias("politics"), nothing.alias("image_match"))
-
     mime = F.col("image_content_type") if "image_content_type" in requests.columns else nothing
-    rest, more = split_by_fault(rest, image_fault(F.col("image_bytes"), mime))
+    good, more = split_by_fault(good, image_fault(F.col("image_bytes"), mime))
     rejects = rejects.unionByName(more)
     has_image = F.col("image_bytes").isNotNull()
-    joined = rest.join(media, "content_id", "left").withColumn("media_status", F.when(has_image, F.coalesce("media_status", F.lit("error"))))
+    joined = good.join(media, "content_id", "left").withColumn("media_status", F.when(has_image, F.coalesce("media_status", F.lit("error"))))
     upstream = F.when(has_image & F.col("media_http_status").between(400, 499), F.struct(F.lit(422).alias("status"), F.lit("image failed media validation").alias("reason")))
     joined, more = split_by_fault(joined, upstream)
     rejects = rejects.unionByName(more)
 
-    joined = joined.join(answers, "content_id", "left").withColumn("m", parse_moderation(F.col("moderation_raw"), moderation_model)).withColumn("c", parse_classification(F.col("classification_raw"), classification_model))
+    # Only from here on, past all filters, is a text judged: once, in one pass with the signals of its providers.
+    joined = joined.join(answers, "content_id", "left").withColumn("local_violation", local_violation(F.col("content_type"), F.col("text"), terms))
+    # A name that its policy settles asks no provider, so whatever the tables hold for it does not count.
+    named = (F.col("content_type") == "USERNAME") & (F.col("local_violation") != "NONE")
+    joined = joined.withColumn("named", named)
+    asked_of = lambda raw: F.when(~F.col("named"), F.col(raw))
+    joined = joined.withColumn("m", parse_moderation(asked_of("moderation_raw"), moderation_model)).withColumn("c", parse_classification(asked_of("classification_raw"), classification_model))
     shown = F.when(has_image, analysis_text(F.col("text"), F.col("ocr_status"), F.col("ocr_text"))).otherwise(F.col("text"))
     result = decide(
         F.col("content_type"),
@@ -80,13 +76,13 @@ def moderate(
     responses = judged.select(
         "content_id",
         "content_type",
-        "result.decision",
-        "result.violation",
+        F.when(F.col("named"), "BLOCK").otherwise(F.col("result.decision")).alias("decision"),
+        F.when(F.col("named"), F.col("local_violation")).otherwise(F.col("result.violation")).alias("violation"),
         investment_signal(F.col("content_type"), F.col("c.investment")).alias("investment"),
         politics_signal(F.col("content_type"), F.col("c.politics"), has_political_term(F.col("political_text"), political)).alias("politics"),
         image_match(has_image, F.col("matched").isNotNull(), F.col("quality_accepted"), F.col("matched")).alias("image_match"),
     )
-    return responses.unionByName(settled), rejects
+    return responses, rejects
 
 
 def as_json(responses: DataFrame) -> DataFrame:
