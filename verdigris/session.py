@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -23,6 +26,16 @@ def session(name: str = "verdigris", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='verdigris-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _between(name: str, value: int, low: int, high: int | None = None) -> None:
     if value < low or high is not None and value > high:
         raise ValueError(f"{name} must be " + (f"at least {low}" if high is None else f"from {low} to {high}"))

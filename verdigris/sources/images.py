@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from verdigris.session import shared_folder
+
 MOST_BYTES = 10 * 1024 * 1024
 MOST_PIXELS = 40_000_000
 
@@ -79,18 +82,59 @@ def header_fault(h: Column, most_pixels: int = MOST_PIXELS) -> Column:
     )
 
 
+def judged(images: DataFrame, content: str = "content", size: str = "size") -> DataFrame:
+    """The rows with header and fault: emptiness, size, then what the header says. Contents beyond the size limit are not looked at."""
+    fits = F.col(size) <= MOST_BYTES
+    with_header = images.withColumn("header", image_header(F.when(fits, F.col(content))))
+    return with_header.withColumn("fault", F.when(F.col(size) == 0, "empty image").when(~fits, "image exceeds size limit").otherwise(header_fault(F.col("header"))))
+
+
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, content) of the files below a path (Spark's source passes over files of no bytes). Of files beyond the size limit the content is null and is not read."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", F.col("length").alias("size"), "content")
+    return small.unionByName(files.where(F.col("length") > MOST_BYTES).select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content")))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, header, fault) of the files below a path (Spark's source passes over files of no bytes). Files beyond the size limit are judged by their size alone."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
-    judged = files.withColumn("header", image_header("content"))
-    fault = F.when(F.col("size") == 0, "empty image").when(F.col("size") > MOST_BYTES, "image exceeds size limit").otherwise(header_fault(F.col("header")))
-    return judged.select("path", "size", "header", fault.alias("fault"))
+    """(path, size, header, fault) of the files below a path."""
+    return judged(_binary(spark, path)).select("path", "size", "header", "fault")
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, nChannels, data) of the images that may be decoded and can be; pixels stay out of the join with the gates."""
-    # The two sources write a local path's scheme with one and with three slashes.
-    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    good = read_files(spark, path).where("fault is null").select(same(F.col("path")).alias("path"))
-    pixels = spark.read.format("image").load(path).select(same(F.col("image.origin")).alias("path"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0")
-    return pixels.join(good, "path", "left_semi")
+    """(path, height, width, nChannels, data) of the files that may be decoded and can be."""
+    return decoded(judged(_binary(spark, path)), "path")
+
+
+def _stage(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for pdf in batches:
+            for digest, content in zip(pdf["digest"], pdf["content"], strict=True):
+                with files.open_output_stream(f"{base}/{digest}", compression=None) as out:
+                    out.write(content)
+            yield pdf[["digest"]]
+
+    return run
+
+
+def decoded(images: DataFrame, key: str) -> DataFrame:
+    """(key, height, width, nChannels, data) of the judged rows (key, content, fault) that may be decoded and can be.
+
+    Only what has passed the gates is given to the decoder: it is put, each content once and named by its digest, into a new folder of the shared ones, which Spark's image source reads. A task that runs again writes the same files.
+    """
+    spark = images.sparkSession
+    good = images.where("fault is null").select(key, F.sha2("content", 256).alias("digest"), "content")
+    folder = shared_folder(spark, "images")
+    # One content is written by one task at a time, and batches stay small.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", min(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")), 16 << 20))
+    staged = good.select("digest", "content").dropDuplicates(["digest"]).mapInPandas(_stage(folder), "digest string").count()
+    kind = images.schema[key].dataType.simpleString()
+    if not staged:
+        return spark.createDataFrame([], f"{key} {kind}, height int, width int, nChannels int, data binary")
+    pixels = spark.read.format("image").load(folder).where("image.height > 0")
+    pixels = pixels.select(F.element_at(F.split("image.origin", "/"), -1).alias("digest"), "image.height", "image.width", "image.nChannels", "image.data")
+    return good.select(key, "digest").join(pixels, "digest").drop("digest")
