@@ -156,13 +156,13 @@ def follows_schema(content_type: Column, answer: Column) -> Column:
 
 
 def classification_text_request(model: str, content_type: Column, text: Column, prompts: dict[str, str] = PROMPTS) -> Column:
-    user = F.concat(F.lit("Content type: "), content_type, F.lit("\nClassify this user-supplied content:\n<content>"), text, F.lit("</content>"))
+    user = F.concat(F.lit("Content type: "), content_type, F.lit("\nThe content to judge, as its author wrote it:\n<content>"), text, F.lit("</content>"))
     return _structured(model, content_type, user, prompts)
 
 
 def classification_image_request(model: str, content_type: Column, content: Column, mime: Column, text: Column, prompts: dict[str, str] = PROMPTS) -> Column:
     shown = F.when(is_blank(text), F.lit("[none]")).otherwise(utf16_truncate(text, TEXT_CAP))
-    context = F.concat(F.lit("Content type: "), content_type, F.lit("\nPost text: "), shown, F.lit("\nClassify the image and supplied context."))
+    context = F.concat(F.lit("Content type: "), content_type, F.lit("\nPost text: "), shown, F.lit("\nJudge the image together with this text."))
     parts = F.array(
         F.struct(F.lit("input_text").alias("type"), context.alias("text"), F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("string").alias("detail")),
         F.struct(F.lit("input_image").alias("type"), F.lit(None).cast("string").alias("text"), data_url(content, mime).alias("image_url"), F.lit("high").alias("detail")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,8 @@ from verdigris.operators.dictionary import Term
 #: Violations that no dictionary may name.
 RESERVED = ("NONE", "NOT_INVESTMENT", "KNOWN_IMAGE", "ANALYZER_ERROR")
 
-# Terms that show a political topic, in English, Azerbaijani, Turkish and Russian.
-POLITICAL_TERMS = """
-president; presidential administration; government; cabinet; ruling party; opposition; minister; parliament; member of parliament; municipality; mayor; police; security service; military; court; election; referendum; vote; protest; law; public policy; corruption; territorial conflict; national security; foreign policy; sanctions
-prezident; prezident administrasiyası; hökumət; nazirlər kabineti; hakim partiya; müxalifət; nazir; millət vəkili; deputat; bələdiyyə; mer; polis; təhlükəsizlik xidməti; ordu; məhkəmə; seçki; referendum; səsvermə; etiraz; qanun; dövlət siyasəti; korrupsiya; ərazi münaqişəsi; milli təhlükəsizlik; xarici siyasət; icra hakimiyyəti; yeni partiya; yeni azerbaycan partiyasi; yap
-cumhurbaşkanı; hükümet; kabine; iktidar; iktidar partisi; muhalefet; bakan; meclis; milletvekili; belediye; belediye başkanı; polis; güvenlik servisi; ordu; mahkeme; seçim; referandum; oylama; protesto; yasa; kamu politikası; yolsuzluk; toprak anlaşmazlığı; milli güvenlik; dış politika; yaptırım
-президент; администрация президента; правительство; кабинет министров; правящая партия; оппозиция; министр; парламент; госдума; совет федерации; депутат; муниципалитет; мэр; полиция; спецслужба; армия; суд; выборы; референдум; голосование; протест; закон; государственная политика; коррупция; территориальный конфликт; национальная безопасность; внешняя политика; санкции
-"""
+#: The terms that show a political topic, for those who give no file of their own.
+POLITICAL_TERMS = Path(__file__).with_name("political_terms.txt")
 
 
 class DictionaryError(ValueError):
@@ -82,10 +78,10 @@ def banned_terms(spark: SparkSession, path: str) -> list[Term]:
 
 
 def political_terms(spark: SparkSession | None = None, path: str | None = None) -> list[str]:
-    """Of a file, or the fixed list."""
+    """Of a file, or of the one that comes with the package."""
     if path:
         return parse_political(read_lines(spark, path))
-    return parse_political([t for line in POLITICAL_TERMS.strip().split("\n") for t in line.split(";")])
+    return parse_political(POLITICAL_TERMS.read_text("utf-8").splitlines())
 
 
 def as_table(spark: SparkSession, terms: list[Term]) -> DataFrame:
