@@ -225,6 +225,20 @@ def pattern(w=128, h=96):
     return np.stack([(17 * x + 3 * y) & 255, (5 * x + 23 * y) & 255, (11 * (x ^ y)) & 255], axis=-1).astype(np.uint8)
 
 
+def test_hashes_fuzzed_printed_and_ordered(spark):
+    values = ["0" * 64, "f" * 64, "8" + "0" * 63, "0" * 60 + "8000", "0123456789abcdef" * 4]
+    w = hamming.words(F.col("h"))
+    rows = spark.createDataFrame([(x,) for x in values], "h string").select("h", hamming.printed(w, "bits").alias("bits"), hamming.printed(w, "across").alias("across"), hamming.printed(w, "longs").alias("longs"), hamming.order_key(w).alias("key"), *(hamming.hexed(hamming.fuzzed(w, n, 5)).alias(f"f{n}") for n in (0, 1, 7))).collect()
+    for r in rows:
+        n = int(r["h"], 16)
+        assert r["across"].replace(" ", "") == f"{n:0256b}" and r["bits"].split("\n") == [r["across"][i : i + 32] for i in range(0, 512, 32)]
+        assert [int(x) % 2**64 for x in r["longs"].split()] == [int(r["h"][i : i + 16], 16) for i in range(0, 64, 16)]
+        words = [int(r["h"][i : i + 4], 16) for i in range(60, -1, -4)]
+        assert r["key"] == [x - (x >= 1 << 15) * (1 << 16) for x in words]
+        flips = [(int(r[f"f{k}"], 16) ^ n).bit_count() for k in (0, 1, 7)]
+        assert flips[:2] == [0, 1] and flips[2] <= 7 and flips[2] % 2 == 1
+
+
 def test_pdq_pin():
     assert pdq.pdq(pattern()) == ("ae4b8be12d8a8124d50f7ba5d62f6bbcfdcf6c81de6d2082a88a5dc10401ffe4", 100)
     assert pdq.pdq(np.zeros((20, 20, 3), np.uint8))[1] == 0
@@ -236,6 +250,10 @@ def test_pdq_of_files(spark, tmp_path):
     (tmp_path / "d.png").write_bytes(png(pattern())[:16] + struct.pack(">II", 100_000, 100_000) + bytes(20))
     faults = {r["path"].rsplit("/", 1)[1]: r["fault"] for r in images.read_files(spark, str(tmp_path)).collect()}
     assert faults == {"a.png": None, "c.gif": "animated images are not supported", "d.png": "image exceeds pixel limit"}
+    (tmp_path / "b.png").write_bytes(png(pattern()))  # the same picture under another name
+    got = pdq.hashed(images.read_pixels(spark, str(tmp_path)).withColumnRenamed("path", "content_id")).collect()
+    assert len({r["content_id"] for r in got}) == 2
+    (tmp_path / "b.png").unlink()
     got = pdq.hashed(images.read_pixels(spark, str(tmp_path)).withColumnRenamed("path", "content_id")).collect()
     assert [(r["hash"], r["quality"]) for r in got] == [pdq.pdq(pattern())]
 

@@ -17,6 +17,7 @@ from verdigris.operators import validate as V
 from verdigris.operators.decision import best_score, decide, image_match, investment_signal, politics_signal
 from verdigris.operators.dictionary import Term, banned_violation, banned_violation_by_join, has_political_term
 from verdigris.operators.username import local_violation, username_violation
+from verdigris.session import shared_folder
 from verdigris.sources import dictionaries as D
 from verdigris.sources import hashes as H
 
@@ -71,9 +72,28 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(l, F.expr("d.doc_id = l.doc_id"), "left").select("d.doc_id", *(F.expr(x).alias(k) for k, x in SIGNALS.items()), entries(FLAGS, "boolean").alias("flags"), entries(SCORES, "double").alias("scores"))
 
 
+#: What the SQL expects of labels; written out, so that a fault in the engine's own table shows.
+EXPECTED_VIOLATIONS = """
+NONE: |none|null
+HARASSMENT: harassment
+HATE: hate|hate/threatening
+THREAT: threat|harassment/threatening
+SELF_HARM: self_harm|self_harm/intent|self_harm/instructions
+SEXUAL: sexual
+SEXUAL_MINORS: sexual_minors|sexual/minors
+GRAPHIC_VIOLENCE: graphic_violence|violence/graphic
+VIOLENCE: violence
+ILLICIT: illicit|illicit/violent
+SPAM_SCAM: spam_scam
+VULGAR: vulgar
+IMPERSONATION: impersonation|reserved_username
+"""
+EXPECTED = [(label, violation) for violation, _, labels in (x.partition(": ") for x in EXPECTED_VIOLATIONS.strip().split("\n")) for label in labels.split("|")]
+
+
 def violation_sql(x: str) -> str:
     """The violation of a label, as SQL."""
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.VIOLATION_OF.items())
+    cases = " ".join(f"WHEN '{label}' THEN '{violation}'" for label, violation in EXPECTED)
     return f"CASE replace(lower(trim(coalesce({x}, 'null'))), '-', '_') {cases} ELSE 'OTHER' END"
 
 
@@ -115,13 +135,13 @@ def decision_counts(spark, sf_dir):
     return decided(spark, sf_dir).groupBy("result.decision", "result.violation", "content_type").agg(F.count("*").alias("n"))
 
 
-LABELS = [*P.VIOLATION_OF, " Hate ", "SELF-HARM", "Self-Harm/Intent", "unheard of", "sexual-minors", None]
-VALUES = ", ".join(f"({i}, {'NULL' if x is None else repr(x)})" for i, x in enumerate(LABELS))
+ODD_LABELS = [(" Hate ", "HATE"), ("SELF-HARM", "SELF_HARM"), ("Self-Harm/Intent", "SELF_HARM"), ("unheard of", "OTHER"), ("sexual-minors", "SEXUAL_MINORS"), (None, "NONE")]
+VALUES = ", ".join(f"({i}, {'NULL' if x is None else repr(x)}, '{v}')" for i, (x, v) in enumerate([*EXPECTED, *ODD_LABELS]))
 
 
-@query(f"SELECT n, label, {violation_sql('label')} AS violation FROM (VALUES {VALUES}) t(n, label)")
+@query(f"SELECT * FROM (VALUES {VALUES}) t(n, label, violation)")
 def violation_from_provider(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(LABELS)), "n int, label string").withColumn("violation", P.violation_of(F.col("label")))
+    return spark.createDataFrame([(i, x) for i, (x, _) in enumerate([*EXPECTED, *ODD_LABELS])], "n int, label string").withColumn("violation", P.violation_of(F.col("label")))
 
 
 @query(f"WITH {SIGNALS_SQL} SELECT doc_id, flag_violation AS violation FROM r")
@@ -143,6 +163,10 @@ def top_score(spark, sf_dir):
 DEMO = ["IMPERSONATION|Loser", "HARASSMENT|idiot", "HARASSMENT|m0ron", "VULGAR|scum", "HARASSMENT|clown", "VULGAR|trash", "HATE|disgusting", "HARASSMENT|pathetic", "VULGAR|the stupid", "HARASSMENT|worthless"]
 
 
+#: What those lines come to.
+EXPECTED_TERMS = [(3, "IMPERSONATION", "loser"), (4, "HARASSMENT", "idiot"), (5, "HARASSMENT", "moron"), (6, "VULGAR", "scum"), (7, "HARASSMENT", "clown"), (8, "VULGAR", "trash"), (9, "HATE", "disgusting"), (10, "HARASSMENT", "pathetic"), (11, "VULGAR", "the stupid"), (12, "HARASSMENT", "worthless")]
+
+
 def demo_terms() -> list[Term]:
     return D.parse_banned(["# demo", "", *DEMO])
 
@@ -157,7 +181,7 @@ JOINED = r"regexp_replace(regexp_replace({0}, '(\p{{L}})[\p{{P}}_]+(\p{{L}})', '
 
 
 def banned_sql(x: str) -> str:
-    terms = [(t.violation, r"[\p{Z}\p{P}_]+".join(t.term.split())) for t in demo_terms()]
+    terms = [(v, r"[\p{Z}\p{P}_]+".join(t.split())) for _, v, t in EXPECTED_TERMS]
     first = lambda y: "CASE " + " ".join(f"WHEN regexp_matches({y}, '{edge(w)}') THEN '{v}'" for v, w in terms) + " ELSE 'NONE' END"
     normal = NORMAL.format(x)
     return f"CASE WHEN {first(normal)} <> 'NONE' THEN {first(normal)} ELSE {first(JOINED.format(normal))} END"
@@ -168,28 +192,26 @@ def banned_term_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", banned_violation(F.col("text"), demo_terms()).alias("violation"))
 
 
-def first_pass_sql(x: str) -> str:
-    terms = [(t.violation, r"[\p{Z}\p{P}_]+".join(t.term.split())) for t in demo_terms()]
-    return "CASE " + " ".join(f"WHEN regexp_matches({NORMAL.format(x)}, '{edge(w)}') THEN '{v}'" for v, w in terms) + " ELSE 'NONE' END"
-
-
-@query(f"SELECT doc_id, {first_pass_sql('text')} AS violation FROM documents")
+@query(f"SELECT doc_id, {banned_sql('text')} AS violation FROM documents")
 def banned_term_join(spark, sf_dir):
-    """The same first match for dictionaries that are tables."""
+    """The same first match, in both passes, for dictionaries that are tables."""
     return banned_violation_by_join(table(spark, sf_dir, "documents"), D.as_table(spark, demo_terms()), "doc_id", "text")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({t.ord}, '{t.violation}', '{t.term}')" for t in demo_terms()) + ") t(ord, violation, term)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{v}', '{t}')" for n, v, t in EXPECTED_TERMS) + ") t(ord, violation, term)")
 def dictionary_load(spark, sf_dir):
     return D.as_table(spark, demo_terms())
 
 
-POLITICAL_WORDS = "|".join(r"[\p{Z}\p{P}_]+".join(t.split()) for t in D.political_terms())
+#: Endings put to texts, and whether they name a political topic: terms of all four languages, in odd spellings, and words that only resemble them.
+ENDINGS = [(" Governm3nt", True), (" governments", False), (" millət_vəkili!", True), (" MECLIS", True), (" meclisi", False), (" совет  федерации", True), (" советфедерации", False), (" cumhurbaşkanı.", True), (" Президент", True), (" votes", False), (" ruling-party", True), (" party ruling", False), (" 3lecti0n", True), ("", False)]
+ENDING_SQL = "CASE doc_id % 14 " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(ENDINGS))) + " END"
 
 
-@query(f"SELECT doc_id, regexp_matches({NORMAL.format('t')}, '{edge(POLITICAL_WORDS)}') AS political FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' Governm3nt' ELSE text END AS t FROM documents)")
+# The tables' own words name no political topic.
+@query("SELECT doc_id, " + ENDING_SQL.format(*(str(x).lower() for _, x in ENDINGS)) + " AS political FROM documents")
 def political_flag(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Governm3nt"))).otherwise(F.col("text"))
+    text = F.concat("text", F.expr(ENDING_SQL.format(*(repr(x) for x, _ in ENDINGS))))
     return table(spark, sf_dir, "documents").select("doc_id", has_political_term(text, D.political_terms()).alias("political"))
 
 
@@ -222,7 +244,6 @@ RAW = {
     "mime": "CASE doc_id % 3 WHEN 0 THEN 'image/PNG' WHEN 1 THEN 'text/plain' END",
 }
 RAW_SQL = f"q AS (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in RAW.items())} FROM documents), k AS (SELECT *, CASE WHEN upper(trim(content_type)) IN ('POST', 'COMMENT', 'USERNAME') THEN upper(trim(content_type)) END AS kind FROM q)"
-CODE_SQL = "CASE status " + " ".join(f"WHEN {s} THEN '{c}'" for s, c in V.CODE_OF.items()) + " ELSE CASE WHEN status BETWEEN 500 AND 599 THEN 'INTERNAL_ERROR' ELSE 'INVALID_INPUT' END END"
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,19 +279,35 @@ def image_gates(spark, sf_dir):
     return raw_requests(spark, sf_dir).select("doc_id", V.image_fault(size, mime)["status"].alias("request_status"), V.analysis_image_fault(kind, size, mime)["status"].alias("analysis_status"), V.media_image_fault(size, F.col("doc_id") % 2 != 0)["status"].alias("media_status"))
 
 
-FAILURES = [(i, kind, status, reason) for i, (kind, status, reason) in enumerate([*((None, s, None) for s in (400, 404, 405, 406, 409, 413, 415, 422, 500, 502, 503)), (None, 400, " bad thing "), (None, 422, "really?"), (None, 503, "secret"), *((k, None, None) for k in (*V.STATUS_OF, "other"))])]
-FAILURE_VALUES = ", ".join(f"({i}, {'NULL' if k is None else repr(k)}, CAST({'NULL' if s is None else s} AS INTEGER), {'NULL' if r is None else repr(r)})" for i, k, s, r in FAILURES)
-KIND_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {s}" for k, s in V.STATUS_OF.items()) + " ELSE 500 END"
-DEFAULT_SQL = "CASE status " + " ".join(f"WHEN {s} THEN '{m}'" for s, m in V.MESSAGE_OF.items()) + " ELSE 'Request is invalid.' END"
-
-
-@query(
-    f"""WITH f AS (SELECT n, reason, coalesce(explicit, {KIND_SQL}) AS status FROM (VALUES {FAILURE_VALUES}) t(n, kind, explicit, reason))
-SELECT n, status, {CODE_SQL} AS error_code, CASE WHEN status = 503 THEN 'Service is not available.' WHEN status BETWEEN 500 AND 599 THEN 'Internal server error.'
-  WHEN trim(coalesce(reason, '')) <> '' THEN CASE WHEN regexp_matches(trim(reason), '[.!?]$') THEN trim(reason) ELSE trim(reason) || '.' END ELSE {DEFAULT_SQL} END AS message FROM f"""
-)
+#: kind, explicit status, reason; then what they come to: status, code, message.
+FAILURES = [
+    (None, 400, None, 400, "INVALID_INPUT", "Request is invalid."),
+    (None, 404, None, 404, "NOT_FOUND", "Endpoint not found."),
+    (None, 405, None, 405, "METHOD_NOT_ALLOWED", "HTTP method is not supported."),
+    (None, 406, None, 406, "NOT_ACCEPTABLE", "Requested response type is not supported."),
+    (None, 409, None, 409, "INVALID_INPUT", "Request is invalid."),
+    (None, 413, None, 413, "PAYLOAD_TOO_LARGE", "Image exceeds the size limit."),
+    (None, 415, None, 415, "UNSUPPORTED_MEDIA_TYPE", "Media type is not supported."),
+    (None, 422, None, 422, "UNPROCESSABLE_IMAGE", "Image could not be processed."),
+    (None, 500, None, 500, "INTERNAL_ERROR", "Internal server error."),
+    (None, 502, None, 502, "INTERNAL_ERROR", "Internal server error."),
+    (None, 503, None, 503, "SERVICE_UNAVAILABLE", "Service is not available."),
+    (None, 400, " bad thing ", 400, "INVALID_INPUT", "bad thing."),
+    (None, 422, "really?", 422, "UNPROCESSABLE_IMAGE", "really?"),
+    (None, 503, "secret", 503, "SERVICE_UNAVAILABLE", "Service is not available."),
+    ("upload_too_large", None, None, 413, "PAYLOAD_TOO_LARGE", "Image exceeds the size limit."),
+    ("media_type", None, None, 415, "UNSUPPORTED_MEDIA_TYPE", "Media type is not supported."),
+    ("missing_parameter", None, None, 400, "INVALID_INPUT", "Request is invalid."),
+    ("validation", None, None, 400, "INVALID_INPUT", "Request is invalid."),
+    ("multipart", None, None, 400, "INVALID_INPUT", "Request is invalid."),
+    ("other", None, None, 500, "INTERNAL_ERROR", "Internal server error."),
+]
+FAILURE_VALUES = ", ".join(f"({i}, {s}, '{c}', '{m}')" for i, (_, _, _, s, c, m) in enumerate(FAILURES))
+
+
+@query(f"SELECT * FROM (VALUES {FAILURE_VALUES}) t(n, status, error_code, message)")
 def error_mapping(spark, sf_dir):
-    rows = spark.createDataFrame(FAILURES, "n int, kind string, explicit int, reason string").withColumn("status", V.status_of(F.col("kind"), F.col("explicit")))
+    rows = spark.createDataFrame([(i, *f[:3]) for i, f in enumerate(FAILURES)], "n int, kind string, explicit int, reason string").withColumn("status", V.status_of(F.col("kind"), F.col("explicit")))
     return rows.select("n", "status", V.error_code(F.col("status")).alias("error_code"), V.error_message(F.col("status"), F.col("reason")).alias("message"))
 
 
@@ -335,6 +372,19 @@ def hash_operations(spark, sf_dir):
     return rows.select("doc_id", hamming.norm(F.col("w")).alias("norm"), F.bit_count(F.get("w", F.lit(0)).bitwiseXOR(F.get("w", F.lit(1)))).alias("ends"), hamming.hexed(twice).alias("hash"))
 
 
+WORD_SQL = ["('0x' || substr(hash, {}, 4))::INT".format(4 * k + 1) for k in range(16)]
+
+
+@query(
+    f"""WITH {NEAREST_SQL} SELECT doc_id, concat_ws(' ', {", ".join(f"substr(hash, {4 * k + 1}, 4)" for k in range(16))}) AS words, concat_ws(' ', {", ".join(f"('0x' || substr(hash, {16 * k + 1}, 16))::ubigint::hugeint - CASE WHEN hash[{16 * k + 1}] >= '8' THEN 18446744073709551616 ELSE 0 END" for k in range(4))}) AS longs,
+  concat_ws(',', {", ".join(f"{x} - CASE WHEN {x} >= 32768 THEN 65536 ELSE 0 END" for x in reversed(WORD_SQL))}) AS order_key FROM h"""
+)
+def hash_forms(spark, sf_dir):
+    """Hashes as words and numbers, and what orders them."""
+    w = hamming.words(F.col("hash"))
+    return hash_table(spark, sf_dir).select("doc_id", hamming.printed(w, "words").alias("words"), hamming.printed(w, "longs").alias("longs"), F.array_join(F.transform(hamming.order_key(w), lambda x: x.cast("string")), ",").alias("order_key"))
+
+
 OBSERVED_SQL = "o AS (SELECT source AS content_id, sha256(text) AS hash, n_chars % 101 AS quality, doc_id FROM documents UNION ALL SELECT source, sha256(text), 0, doc_id + 1000000000 FROM documents)"
 
 
@@ -355,9 +405,14 @@ def observed_hash_count(spark, sf_dir):
     return H.observed_count(H.first_of_each(observed(spark, sf_dir), "doc_id"))
 
 
-@query(f"WITH {BLOCKED_SQL} SELECT 7 AS revision, hash FROM (SELECT 1) LEFT JOIN b ON true")
+@query(f"WITH {BLOCKED_SQL} SELECT 3::BIGINT AS revision, hash FROM (SELECT 1) LEFT JOIN b ON true")
 def blocklist_snapshot(spark, sf_dir):
-    return H.snapshot(spark.createDataFrame([(7,)], "revision int"), blocked_table(spark, sf_dir))
+    """The list of the third write; the first had one hash, the second none."""
+    store = H.Blocklist(spark, shared_folder(spark, "blocklist"))
+    store.write(spark.createDataFrame([("f" * 64,)], "hash string"))
+    store.write(spark.createDataFrame([], "hash string"))
+    store.write(blocked_table(spark, sf_dir))
+    return store.read()
 
 
 # Signals of a response
@@ -440,7 +495,7 @@ def data_url(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.data_url(F.encode("text", "UTF-8"), F.lit("image/png")).alias("url"))
 
 
-@query("SELECT doc_id, text AS input, 'Content type: POST' || chr(10) || 'Classify this user-supplied content:' || chr(10) || '<content>' || text || '</content>' AS content, 120 AS tokens, substr(text, 1, 20000) AS context FROM documents")
+@query("SELECT doc_id, text AS input, 'Content type: POST' || chr(10) || 'The content to judge, as its author wrote it:' || chr(10) || '<content>' || text || '</content>' AS content, 120 AS tokens, substr(text, 1, 20000) AS context, 'Content type: POST' || chr(10) || 'Post text: ' || substr(text, 1, 20000) || chr(10) || 'Judge the image together with this text.' AS image_context, 'data:image/png;base64,eA==' AS image_url FROM documents")
 def provider_requests(spark, sf_dir):
     """Requests, read back from their JSON."""
     text = F.col("text")
@@ -449,8 +504,10 @@ def provider_requests(spark, sf_dir):
         F.from_json(P.moderation_text_request("m", text), "struct<input:string>")["input"].alias("input"),
         F.from_json(P.classification_text_request("m", F.lit("POST"), text), "struct<max_output_tokens:int,input:array<struct<role:string,content:string>>>").alias("c"),
         F.from_json(P.moderation_image_request("m", F.encode(F.lit("x"), "UTF-8"), F.lit("image/png"), text), "struct<input:array<struct<type:string,text:string>>>").alias("i"),
+        F.from_json(P.classification_image_request("m", F.lit("POST"), F.encode(F.lit("x"), "UTF-8"), F.lit("image/png"), text), "struct<input:array<struct<role:string,content:string>>>").alias("j"),
     )
-    return rows.select("doc_id", "input", F.col("c.input")[1]["content"].alias("content"), F.col("c.max_output_tokens").alias("tokens"), F.col("i.input")[0]["text"].alias("context"))
+    parts = F.from_json(F.col("j.input")[1]["content"], "array<struct<type:string,text:string,image_url:string>>")
+    return rows.select("doc_id", "input", F.col("c.input")[1]["content"].alias("content"), F.col("c.max_output_tokens").alias("tokens"), F.col("i.input")[0]["text"].alias("context"), parts[0]["text"].alias("image_context"), parts[1]["image_url"].alias("image_url"))
 
 
 @query("SELECT doc_id, replace(replace(replace(substr(text, 1, 500), chr(13), ' '), chr(10), ' '), chr(9), ' ') AS message, 'http_503' AS code, 'http_error' AS type, 'unavailable' AS request_id FROM documents")
@@ -558,23 +615,96 @@ def moderation_rejects(spark, sf_dir):
     return moderation.moderate(*pipeline_inputs(spark, sf_dir), demo_terms(), D.political_terms())[1]
 
 
-@query("SELECT 'ready' AS status, 'ready' AS ai, 'ready' AS media, 5 AS hash_count, 'disabled' AS ocr")
+@query(f"WITH {OBSERVED_SQL} SELECT CASE WHEN n > 0 THEN 'ready' ELSE 'unavailable' END AS status, 'ready' AS ai, 'ready' AS media, n AS hash_count, 'disabled' AS ocr FROM (SELECT count(*) AS n FROM (SELECT DISTINCT content_id, hash FROM o))")
 def service_status(spark, sf_dir):
-    return moderation.status_table(spark, 5, "disabled", True)
+    """The status, with the count of the hashes that are stored."""
+    count = H.observed_count(H.first_of_each(observed(spark, sf_dir), "doc_id")).first()["hash_count"]
+    return moderation.status_table(spark, count, "disabled", True)
+
+
+# Images. No table has any, so they are made by rule: pixel (x, y) of image i has these values at (x + dx, y + dy).
+
+SHIFTS = [(0, 0), (1, 0), (0, 2), (5, 7)]
+#: The hash written out for images that the box filter leaves alone (its windows are one pixel wide up to 128 by 128), in doubles.
+PDQ_SQL = f"""WITH i AS (SELECT * FROM (VALUES {", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate(SHIFTS))}) t(i, dx, dy)),
+p AS (SELECT i, r.r, c.c, floor((c.c + 0.5) * 128 / 64)::INT + dx AS x, floor((r.r + 0.5) * 96 / 64)::INT + dy AS y FROM i, range(64) r(r), range(64) c(c)),
+v AS (SELECT i, r, c, 0.299::DOUBLE * ((17 * x + 3 * y) & 255) + 0.587::DOUBLE * ((5 * x + 23 * y) & 255) + 0.114::DOUBLE * ((11 * xor(x, y)) & 255) AS v FROM p),
+q AS (SELECT i, least(100, floor(sum(abs(coalesce(trunc((v - below) * 100 / 255), 0)) + abs(coalesce(trunc((v - beside) * 100 / 255), 0))) / 90))::INT AS quality
+  FROM (SELECT *, lead(v) OVER (PARTITION BY i, c ORDER BY r) AS below, lead(v) OVER (PARTITION BY i, r ORDER BY c) AS beside FROM v) GROUP BY i),
+h AS (SELECT i, k, c, sum(cos(pi() / 128 * (k + 1) * (2 * r + 1)) * v) AS t FROM v, range(16) k(k) GROUP BY i, k, c),
+d AS (SELECT i, k, m, sum(cos(pi() / 128 * (m + 1) * (2 * c + 1)) * t) AS x FROM h, range(16) m(m) GROUP BY i, k, m),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY x) AS place FROM d),
+b AS (SELECT i, 255 - 16 * k - m AS spot, (place > 128)::INT AS bit FROM o),
+n AS (SELECT i, spot // 4 AS digit, sum(bit << (3 - spot % 4)::INT)::INT AS value FROM b GROUP BY i, spot // 4)
+SELECT 'image-' || i AS content_id, string_agg(substr('0123456789abcdef', value + 1, 1), '' ORDER BY digit) AS hash, any_value(quality) AS quality FROM n JOIN q USING (i) GROUP BY i"""
+
+
+def drawn(dx: int, dy: int, width: int = 128, height: int = 96):
+    """The pixels of a generated image: rows of red, green, blue."""
+    import numpy as np
 
+    y, x = np.mgrid[dy : height + dy, dx : width + dx]
+    return np.stack([(17 * x + 3 * y) & 255, (5 * x + 23 * y) & 255, (11 * (x ^ y)) & 255], axis=-1).astype(np.uint8)
 
-@query()
-def pdq_hash_synthetic(spark, sf_dir):
-    """Hashes and qualities of generated images (no image table exists)."""
-    import numpy as np
 
+@query(PDQ_SQL)
+def pdq_hash_synthetic(spark, sf_dir):
+    """Hashes and qualities of generated images."""
     from verdigris.operators.pdq import hashed
 
-    y, x = np.mgrid[0:96, 0:128]
-    rows = []
-    for i, (dx, dy) in enumerate([(0, 0), (1, 0), (0, 2), (5, 7)]):
-        u, v = x + dx, y + dy
-        bgr = np.stack([(11 * (u ^ v)) & 255, (5 * u + 23 * v) & 255, (17 * u + 3 * v) & 255], axis=-1).astype(np.uint8)
-        rows.append((f"image-{i}", 96, 128, 3, bytearray(bgr.tobytes())))
+    rows = [(f"image-{i}", 96, 128, 3, bytearray(drawn(dx, dy)[..., ::-1].tobytes())) for i, (dx, dy) in enumerate(SHIFTS)]
     return hashed(spark.createDataFrame(rows, "content_id string, height int, width int, channels int, data binary"))
 
+
+def png(rgb, width: int | None = None, height: int | None = None) -> bytes:
+    """A PNG file of the pixels; its header may tell another size."""
+    import struct
+    import zlib
+
+    rows, columns, _ = rgb.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width or columns, height or rows, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in rgb))) + chunk(b"IEND", b"")
+
+
+def image_moderated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each document as a post, by doc_id % 6: 0 a blocked image, 1 another one with a political word in it, 2 one without contrast, 3 one of 40,001 pixels each way, 4 no image at all in its bytes, 5 no image."""
+    import numpy as np
+
+    from verdigris.operators.pdq import pdq
+
+    from .media import media_signals
+
+    known = drawn(0, 0, 64, 64)
+    files = [png(known), png(drawn(40, 9, 64, 64)[::-1].copy()), png(np.full((64, 64, 3), 90, np.uint8)), png(known, 40_001, 40_001), b"no image", None]
+    images = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "kind int, image binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 6).cast("int").alias("kind"))
+    posts = docs.join(images, "kind").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content_id"), F.lit("POST").alias("content_type"), F.lit("a view of the bay").alias("text"), "image", F.lit("image/png").alias("image_content_type"))
+    named = docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content_id"), "kind")
+    texts = named.select("content_id", F.when(F.col("kind") == 1, " the  governm3nt\n").alias("ocr_raw"), F.lit(False).alias("ocr_failed"))
+    moderation = '{"results":[{"flagged":false,"categories":{"violence":false},"category_scores":{"violence":0.1}}]}'
+    answer = '{"model":"m","output":[{"type":"message","content":[{"type":"output_text","text":"{\\"action\\":\\"allow\\",\\"category\\":\\"none\\",\\"investment\\":\\"related\\",\\"politics\\":\\"not_related\\"}"}]}]}'
+    said = named.select("content_id", F.lit(moderation).alias("moderation_raw"), F.lit(answer).alias("classification_raw"))
+    # One bit away from the known image's hash.
+    value = pdq(known)[0]
+    blocked = spark.createDataFrame([(f"{int(value, 16) ^ 1:064x}",)], "hash string")
+    media = media_signals(posts, blocked, shared_folder(spark, "observed"), texts)
+    return moderation_plan(posts, media, said)
+
+
+def moderation_plan(posts: DataFrame, media: DataFrame, said: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return moderation.moderate(posts, media, said, demo_terms(), D.political_terms())
+
+
+@query(
+    """SELECT 'c' || doc_id AS content_id, 'POST' AS content_type, CASE doc_id % 6 WHEN 0 THEN 'BLOCK' ELSE 'ALLOW' END AS decision, CASE doc_id % 6 WHEN 0 THEN 'KNOWN_IMAGE' ELSE 'NONE' END AS violation, 'RELATED' AS investment,
+  CASE doc_id % 6 WHEN 1 THEN 'UNCERTAIN' ELSE 'NOT_RELATED' END AS politics, CASE doc_id % 6 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'NOT_MATCHED' WHEN 2 THEN 'LOW_QUALITY' END AS image_match FROM documents WHERE doc_id % 6 NOT IN (3, 4)"""
+)
+def image_moderation(spark, sf_dir):
+    """From the bytes of images to responses."""
+    return image_moderated(spark, sf_dir)[0]
+
+
+@query("SELECT 'c' || doc_id AS content_id, 422 AS http_status, 'UNPROCESSABLE_IMAGE' AS error_code, 'image failed media validation.' AS message FROM documents WHERE doc_id % 6 IN (3, 4)")
+def image_rejects(spark, sf_dir):
+    return image_moderated(spark, sf_dir)[1]
