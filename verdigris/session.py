@@ -36,6 +36,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Arrow batches to Python workers stay below so many bytes, or hold a single row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes, since the rows of a batch (the bound that is commonly set) can be of any size."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def _between(name: str, value: int, low: int, high: int | None = None) -> None:
     if value < low or high is not None and value > high:
         raise ValueError(f"{name} must be " + (f"at least {low}" if high is None else f"from {low} to {high}"))

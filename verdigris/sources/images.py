@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from verdigris.session import shared_folder
+from verdigris.session import shared_folder, small_batches
 
 MOST_BYTES = 10 * 1024 * 1024
 MOST_PIXELS = 40_000_000
@@ -129,8 +129,7 @@ def decoded(images: DataFrame, key: str) -> DataFrame:
     spark = images.sparkSession
     good = images.where("fault is null").select(key, F.sha2("content", 256).alias("digest"), "content")
     folder = shared_folder(spark, "images")
-    # One content is written by one task at a time, and batches stay small.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", min(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")), 16 << 20))
+    small_batches(spark, MOST_BYTES)
     staged = good.select("digest", "content").dropDuplicates(["digest"]).mapInPandas(_stage(folder), "digest string").count()
     kind = images.schema[key].dataType.simpleString()
     if not staged:
