@@ -10,22 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.session import small_batches as small_batches
+
 #: The characters of [\x20\x09-\x0D], which part words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 
 
-#: Arrow batches to Python workers stay below so many bytes, or hold a single row.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by bytes, since 10,000 rows (the bound of Spark's own) can be of any size."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
-
-
 class Kept(dict):
     """What ``make`` gives for each word, kept for up to ``most`` words and as many before them. Words asked for again stay, so common ones do; words over LONGEST are made each time."""
 

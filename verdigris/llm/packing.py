@@ -286,21 +286,23 @@ def _packed(totals: dict, window: int, proportions: dict | None, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(totals, window, proportions)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             queues, ids = np.array(batch["queue"].to_pylist(), object), batch["ids"]
             begins, sizes = batch["begin"].to_numpy(), batch["n"].to_numpy()
             _, ends, data = ids.buffers()
             firsts = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids)] // width
             data = memoryview(np.frombuffer(data or b"", kind).astype("<u4").tobytes())
+            found = []
             for queue in dict.fromkeys(queues):
-                own = np.flatnonzero(queues == queue) if queue is not None else np.array([i for i, x in enumerate(queues) if x is None])
-                doc, start, length, number, offset = layout.pieces(queue, begins[own], sizes[own])
-                if not len(doc):
-                    continue
-                doc = own[doc]
-                at = 4 * (firsts[doc] + start)
-                crcs = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
-                rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), batch["n"].take(rows), pa.array(number), pa.array(offset), batch["source"].take(rows)], schema=schema)
+                own = np.array([i for i, x in enumerate(queues) if x is None]) if queue is None else np.flatnonzero(queues == queue)
+                doc, *places = layout.pieces(queue, begins[own], sizes[own])
+                found.append((own[doc], *places))
+            doc, start, length, number, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = 4 * (firsts[doc] + start)
+            crcs = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), batch["n"].take(rows), pa.array(number), pa.array(offset), batch["source"].take(rows)], schema=schema)
 
     return run
 
