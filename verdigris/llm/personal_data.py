@@ -25,6 +25,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("account", "userinfo")
 #: Cues of identifiers, lower case.
@@ -92,7 +94,8 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[Span]:
             if last >= dotted_end:
                 start, dotted_end = _run(text, last, _DOTTED, dotted_end)
                 for m in _QUAD.finditer(text, start, dotted_end):
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+                    # Without leading zeros, of which there may be more than int() takes.
+                    if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                         found["ip"].append(m.span())
             if last >= spaced_end:
                 start, spaced_end = _run(text, last, _SPACED, spaced_end)
@@ -150,7 +153,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 
 
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,15 +163,16 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             spans = find(text, anchors)
             base = [s for s in spans if s[0] in KINDS]
-            rows.append((doc_id, *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+            rows.append((doc_id, *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
-    Null and empty texts have no spans; base_sha256 is then that of the empty string. Counts and base_sha256 are of the base kinds, spans lists all. Spans of different kinds may overlap. Repeated rows give equal rows; a null doc_id stays null. An empty table gives no rows. Other columns are not read.
+    Null and empty texts have no spans; base_sha256 is then that of the empty string. Counts and base_sha256 are of the base kinds, spans lists and n_spans counts all. Spans of different kinds may overlap. Repeated rows give equal rows; a null doc_id stays null. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(_found, SCHEMA)
 
 
@@ -188,4 +192,5 @@ def redacted(docs: DataFrame) -> DataFrame:
                 texts.append(None if text is None else "".join(out) + text[at:])
             yield pdf.assign(text=texts)
 
+    small_batches(docs.sparkSession)
     return docs.mapInPandas(run, docs.schema)
