@@ -82,12 +82,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     sure = (blocked >= min_blocked) & (lower_bound(F.col("confidence"), blocked / F.col("confidence")) >= MIN_BOUND)
     rules = cut(model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & sure).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"))
     frequency = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    # A rule minus one token: if that is a rule of at least its confidence, the longer one says nothing new.
-    shorter = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("without")).select("rule_tokens", "confidence", F.array_except("rule_tokens", F.array("without")).alias("part"))
-    told = shorter.join(rules.select(F.col("rule_tokens").alias("part"), F.col("confidence").alias("least")), "part").where("least >= confidence").select("rule_tokens").distinct()
-    kept = rules.join(told, "rule_tokens", "left_anti")
-    anchors = kept.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(frequency, "token").groupBy("rule_tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return written(kept.join(anchors, "rule_tokens").select("rule_tokens", "anchor", "confidence", "support"), "rules")
+    anchors = rules.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(frequency, "token").groupBy("rule_tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    indexed = cut(rules.join(anchors, "rule_tokens").select("rule_tokens", "anchor", "confidence", "support"))
+    # A rule that holds another one of at least its confidence says nothing new. It meets that one as a URL of its tokens would.
+    probes = rules.select(F.col("rule_tokens").alias("tokens"), F.col("confidence").alias("least"), F.explode("rule_tokens").alias("anchor"))
+    within = (F.size("rule_tokens") < F.size("tokens")) & (F.size(F.array_except("rule_tokens", "tokens")) == 0) & (F.col("confidence") >= F.col("least"))
+    told = probes.join(indexed, "anchor").where(within).select(F.col("tokens").alias("rule_tokens")).distinct()
+    return written(indexed.join(told, "rule_tokens", "left_anti").select("rule_tokens", "anchor", "confidence", "support"), "rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
