@@ -1,6 +1,6 @@
 r"""Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates (McMahan and others, 2013) and scored as sparse dot products.
 
-Features of a text: n-grams of its words ([^\x20\x09-\x0D]+) and n-grams of the words' shapes (letters, digits and other characters by class, runs squeezed), hashed into 2 ** BITS places; a word that repeats the one before it has a shape of its own. A feature's value is the square root of its share of all n-grams of its kind. Labels, lang, source and doc_id are never inputs.
+Features of a text: n-grams of its words ([^\x20\x09-\x0D]+) and n-grams of the words' shapes (letters, digits and other characters by class, runs squeezed), hashed into 2 ** BITS places, each kind into an eighth of its own; a word that repeats the one before it has a shape of its own. A feature's value is the square root of its share of all n-grams of its kind. Labels, lang, source and doc_id are never inputs.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE of those outside the held-out fold that have a document, the ones of least hash of doc_id, in one task. Scoring takes the weights (a few MB, of fixed size) to every task and reads every whole text.
 """
@@ -8,15 +8,18 @@ The model is fitted on a bounded sample of labelled rows: at most SAMPLE of thos
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+from .common import Kept, small_batches
+
+BITS = 20
 SAMPLE = 10_000
 EPOCHS = 3
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
@@ -28,66 +31,74 @@ _CLASSES = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ɏ]+
 
 
 def shape(word: str) -> str:
+    if word.isascii() and word.isalpha() and word.islower():
+        return "a"
     for pattern, to in _CLASSES:
         word = pattern.sub(to, word)
     return word
 
 
 class Features:
-    """Places and values of a text's features."""
+    """Places and values of a text's features. Place 0 is the intercept's; each kind has a range of its own, so a text has no place twice."""
+
+    KINDS = 5
+
+    def __init__(self, bits: int = BITS) -> None:
+        self.room = 1 << (bits - 3)
+        self.hashes = Kept(self._hashes)
 
-    def __init__(self, bits: int = BITS, kept: int = 1 << 19) -> None:
-        self.mask, self.kept, self.known = np.uint64((1 << bits) - 1), kept, {}
-        self.hashes = np.zeros((1024, 2), np.uint64)  # of each known word and of its shape
+    @staticmethod
+    def _hashes(word: bytes) -> bytes:
+        """Of a word and of its shape."""
+        w = word.decode("utf-8", "surrogatepass")
+        low = w.lower().encode("utf-8", "surrogatepass")
+        return xxhash.xxh3_64_intdigest(low).to_bytes(8, "little") + xxhash.xxh3_64_intdigest(shape(w).encode("utf-8", "surrogatepass"), 1).to_bytes(8, "little")
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        known = self.known
-        if len(known) > self.kept:
-            known.clear()
-        for w in words:
-            if w not in known:
-                if len(known) == len(self.hashes):
-                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                raw = w.lower().encode("utf-8", "surrogatepass")
-                self.hashes[len(known)] = xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(shape(w).encode("utf-8", "surrogatepass"), 1)
-                known[w] = len(known)
-        n = len(words)
-        if not n:
-            return np.zeros(1, np.int64), np.ones(1, np.float64)
-        both = self.hashes[np.fromiter(map(known.__getitem__, words), np.int64, n)]
+        words = (text or "").encode("utf-8", "surrogatepass").split()  # of bytes, this parts by [\x20\x09-\x0D] alone
+        places, values = [np.zeros(1, np.int32)], [np.ones(1)]
+        both = np.frombuffer(b"".join(map(self.hashes.__getitem__, words)), "<u8").reshape(-1, 2)
         word, form = both[:, 0].copy(), both[:, 1].copy()
         with np.errstate(over="ignore"):
             same = np.flatnonzero(word[1:] == word[:-1]) + 1
             form[same] = form[same] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
             mix = lambda a, b: (a * np.uint64(0xBF58476D1CE4E5B9) ^ (b + np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)
             kinds = [word >> np.uint64(3), mix(word[:-1], word[1:]), form >> np.uint64(3), mix(form[:-1], form[1:]), mix(mix(form[:-2], form[1:-1]), form[2:])]
-        places, values = [np.zeros(1, np.int64)], [np.ones(1)]
-        for kind in kinds:
-            if len(kind):
-                at, count = np.unique(kind & self.mask, return_counts=True)
-                places.append(at.astype(np.int64))
-                values.append(np.sqrt(count / len(kind)))
+        for i, kind in enumerate(kinds):
+            if n := len(kind):
+                at = (kind & np.uint64(self.room - 1)).astype(np.int32)
+                at.sort()
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                places.append(at[first] + np.int32((i + 1) * self.room))
+                values.append(np.sqrt(np.diff(first, append=n) / n))
         return np.concatenate(places), np.concatenate(values)
 
 
-def train(rows: Iterator[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
-    """Weights by FTRL-proximal updates over the rows (text, label) in their order. Place 0 also holds the intercept."""
+def train(rows: Iterable[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
+    """Weights by FTRL-proximal updates over the rows (text, label) in their order. Place 0 is the intercept."""
     features = Features(bits)
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    data = [(*features(text), float(label)) for text, label in rows]
+    # All rows' features end to end, 8 bytes each, in two blocks that go back to the system as a whole.
+    places, values, ends, labels = bytearray(), bytearray(), [0], []
+    for text, label in rows:
+        at, x = features(text)
+        places += at.tobytes()
+        values += x.astype(np.float32).tobytes()
+        ends.append(ends[-1] + len(at))
+        labels.append(float(label))
+    all_places, all_values = np.frombuffer(places, np.int32), np.frombuffer(values, np.float32)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
-        for at, x, y in data:
+        for a, b, y in zip(ends, ends[1:], labels, strict=False):
+            at, x = all_places[a:b], all_values[a:b].astype(float)
             w = weights(z[at], n[at])
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            # Two kinds' features may share a place; then the last update of it counts.
-            z[at] += g - sigma * w
+            z[at] += g - sigma * w  # no place is there twice
             n[at] += g * g
     return weights(z, n).astype(np.float32)
 
@@ -97,21 +108,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """The weights; of zeros (all scores 1/2) where no row is labelled. Several labels of a doc_id count as the least; null labels are left out."""
+    """The weights; of zeros (all scores 1/2) where no row is labelled. Several labels or texts of a doc_id count as the least; null labels are left out."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).where(~held_out("label_id") & F.col("y").isNotNull() & F.col("label_id").isNotNull())
     # Labels without a document do not use up the sample.
     known = known.groupBy("label_id").agg(F.min("y").alias("y")).join(docs.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     # Broadcast: at most SAMPLE rows of 12 bytes.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").repartition(1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).repartition(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         if not parts:
             return
         pdf = pd.concat(parts)
+        parts.clear()
         pdf["order"] = [xxhash.xxh3_64_intdigest(str(x)) for x in pdf["doc_id"]]
-        pdf = pdf.sort_values(["order", "doc_id", "text"], kind="stable").drop_duplicates(["doc_id", "text"])
+        pdf = pdf.sort_values(["order", "doc_id"], kind="stable")
         yield pd.DataFrame({"weights": [train(zip(pdf["text"], pdf["y"], strict=True)).tobytes()]})
 
     found = rows.mapInPandas(run, "weights binary").collect()
@@ -119,26 +133,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, columns: list[str] | None = None, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """The documents' columns (or the named ones), score and predicted, under the names of ``out``."""
-    from pyspark.sql import types as T
-
-    columns = columns or docs.columns
+    """The documents' columns (or the named ones), score and predicted, under the names of ``out``. Only texts go to Python, in batches bounded by bytes."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS floats
-    # The result's names may clash with the documents'; they are put apart until the end.
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), F.col("text").alias("scored_text"))
-    schema = T.StructType([*(T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, w = Features(), held.value
-        for pdf in batches:
-            scores = []
-            for text in pdf["scored_text"]:
-                at, x = features(text)
-                scores.append(1 / (1 + np.exp(-np.clip(float(w[at] @ x), -35, 35))))
-            yield pdf.drop(columns="scored_text").assign(score=np.array(scores, float))
-
-    scored = inner.mapInPandas(run, schema)
-    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("score").alias(out[0]), (F.col("score") >= threshold).cast("int").alias(out[1]))
+        for batch in batches:
+            sums = []
+            for text in batch:
+                at, x = features(text.as_py())
+                sums.append(float(w[at] @ x))
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35))), pa.float64())
+
+    # The result's names may clash with the documents'; nothing is looked up by them.
+    of = scored.asNondeterministic()("text").alias("scored text")
+    found = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns or docs.columns)), of)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns or docs.columns)), F.col("scored text").alias(out[0]), (F.col("scored text") >= threshold).cast("int").alias(out[1]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
