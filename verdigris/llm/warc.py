@@ -24,12 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, scratch, small_batches
 
 LEAST_BYTES = 1000
 BLOCK_LINES = 256
 #: zlib's level.
 LEVEL = 3
+#: An archive that has so many bytes is closed and a new one begun.
+ARCHIVE_BYTES = 1 << 30
+#: Tasks that the pages of one payload are dealt to.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"  # pages have no time of capture; a fixed one keeps archives equal between runs
 
 
@@ -94,28 +98,33 @@ def planned(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     size, digest = F.octet_length("html"), F.sha1("html")
     # Only payloads that occur twice or more; the counting shuffles digests, partly added up before.
     twice = rows.where(size >= least).groupBy(digest.alias("same")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(twice, (digest == F.col("same")) & (size >= least), "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    # The pages of one payload go to SALTS tasks; what comes to them is a narrow row for each digest that occurs twice.
+    twice = twice.select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.join(twice, (digest == F.col("same")) & (F.pmod(F.xxhash64("page_id"), F.lit(SALTS)) == F.col("salt")) & (size >= least), "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 ENTRY = "key string, archive string, offset bigint, length bigint"
 
 
-def write_archives(plan: DataFrame, folder: str) -> DataFrame:
-    """Writes an archive for each partition and returns the index entries."""
+def write_archives(plan: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives of up to about ``most`` bytes, one or more for each partition, and returns the index entries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = filesystem(folder)
-        out, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
+        out, name, at = None, "", 0
         for pdf in batches:
             entries = []
-            if out is None and len(pdf):
-                fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
             for page_id, url, html, refers_to in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
                 number = None if pd.isna(page_id) else int(page_id)
                 url = None if not isinstance(url, str) else url
                 data = gzip.compress(record(number, url, payload, hashlib.sha1(payload).hexdigest(), None if pd.isna(refers_to) else int(refers_to)), LEVEL, mtime=0)
+                if out is None or at >= most:
+                    if out is not None:
+                        out.close()
+                    fs.create_dir(base, recursive=True)
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
                 out.write(data)
                 entries.append((order_key(url, number), name, at, len(data)))
                 at += len(data)
@@ -257,6 +266,7 @@ def capture(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     A null html is an empty payload, a null url an empty target. Of equal payloads of LEAST_BYTES or more the one with the largest page_id is the response; of rows that repeat that page_id each is a response. Rows without page_id are never referred to unless all are; then each is a response. An empty table writes nothing and gives no rows. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     folder = folder or scratch(pages.sparkSession, "archives")
     pages = pages.select("page_id", "url", "html")
     entries = cut(write_archives(planned(pages), folder))
