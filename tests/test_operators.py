@@ -239,6 +239,17 @@ def test_hashes_fuzzed_printed_and_ordered(spark):
         assert flips[:2] == [0, 1] and flips[2] <= 7 and flips[2] % 2 == 1
 
 
+def test_writers_at_the_same_time_get_their_own_revisions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = hashes.Blocklist(spark, f"file://{tmp_path}/list")
+    rows = [spark.createDataFrame([(f"{i:064x}",)], "hash string") for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(store.write, rows))
+    assert sorted(numbers) == [1, 2, 3, 4] and store.revision() == 4
+    assert {r["hash"] for r in store.read().collect()} == {f"{numbers.index(4):064x}"}
+
+
 def test_pdq_pin():
     assert pdq.pdq(pattern()) == ("ae4b8be12d8a8124d50f7ba5d62f6bbcfdcf6c81de6d2082a88a5dc10401ffe4", 100)
     assert pdq.pdq(np.zeros((20, 20, 3), np.uint8))[1] == 0

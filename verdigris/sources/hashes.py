@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; false where it is there already, so of several callers one is told true."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        return files.createNewFile(p)
+    # Hadoop's local file system looks and then creates, which two writers can do at once.
+    local = Path(p.toUri().getPath())
+    local.parent.mkdir(parents=True, exist_ok=True)
+    try:
+        local.touch(exist_ok=False)
+    except FileExistsError:
+        return False
+    return True
+
+
 def append_observed(hashes: DataFrame, path: str, order: str | None = None) -> None:
     """Adds the pairs that ``path`` does not hold; running it again adds nothing. Hashes of low quality are stored too."""
     spark = hashes.sparkSession
@@ -47,14 +65,17 @@ class Blocklist:
 
     def revision(self) -> int | None:
         """The current revision; null before the first write. A snapshot counts only once its marker is written."""
-        marks = f"{self.path}/revisions"
-        return self.spark.read.schema("revision bigint").parquet(marks).agg(F.max("revision")).first()[0] if _exists(self.spark, marks) else None
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/revisions")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return max((int(f.getPath().getName()) for f in files.listStatus(folder)), default=None) if files.exists(folder) else None
 
     def write(self, hashes: DataFrame) -> int:
-        """Replaces the list by the rows (hash, reason)."""
+        """Replaces the list by the rows (hash, reason). Writers at the same time get numbers of their own; a number whose writer fails is left out."""
         n = (self.revision() or 0) + 1
+        while not _claimed(self.spark, f"{self.path}/claims/{n}"):
+            n += 1
         hashes.select(F.lower("hash").alias("hash"), F.coalesce("reason", F.lit("policy_match")).alias("reason") if "reason" in hashes.columns else F.lit("policy_match").alias("reason")).dropDuplicates(["hash"]).write.mode("overwrite").parquet(f"{self.path}/snapshot-{n}")
-        self.spark.createDataFrame([(n,)], "revision bigint").write.mode("append").parquet(f"{self.path}/revisions")
+        _claimed(self.spark, f"{self.path}/revisions/{n}")
         return n
 
     def read(self, revision: int | None = None) -> DataFrame:
