@@ -1,6 +1,8 @@
 """From documents to packed sequences: quality, exact copies, near copies, mixture, packing.
 
-Each stage reads what the one before wrote and works on all of it. All but the last return the columns of documents.
+Each stage reads what the one before wrote and works on all of it. All but the last return the columns of documents, whatever further ones the table has and however they are named.
+
+In every stage a null text counts as an empty one, texts have no upper length, an empty table gives an empty one, and rows that share a doc_id or have none are judged row by row. What comes of empty texts and of ties is said with the stages.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; those at the threshold stay. Empty texts have the score of the intercept, and repeated rows the same one. Without a label for any of the documents every score is 1/2, which is below the threshold, so all go."""
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -42,22 +44,22 @@ def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], gr
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space one stays, the longest and then that of smallest doc_id, whatever rows share a doc_id or have none."""
+    """Of texts that are equal but for white space one stays, the longest and then that of smallest doc_id, whatever rows share a doc_id or have none. Of all empty texts one stays."""
     return _one_of_each(docs, exact_dedup, "keep_id", [(-F.char_length(text_or_empty())).alias("longest")])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows the one of smallest doc_id stays, whatever rows share a doc_id or have none."""
+    """Of each group of linked rows the one of smallest doc_id stays, whatever rows share a doc_id or have none. Texts without words are linked with nothing and stay."""
     return _one_of_each(docs, near_dedup, "component_id", [])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and the last time as far, as the mix takes them."""
+    """Documents as often, and the last time as far, as the mix takes them. Texts without words add nothing to it and go; repeated rows are documents of their own."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
+    """The pieces of all sequences: an empty text is its end id, repeated rows are packed one by one."""
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 

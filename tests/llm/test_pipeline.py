@@ -114,6 +114,45 @@ def test_packing(spark, stages):
         assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 4096 and ends[-1] & (ends[-1] - 1) == 0
 
 
+def odd_table(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and further columns named as the stages' own are."""
+    from pyspark.sql import functions as F
+
+    words = "one two three four five six seven eight nine ten"
+    rows = [(1, words, "en", "a", 48), (1, words, "en", "a", 48), (2, words.replace(" ", "  "), "en", "b", 57), (3, words, None, None, None), (None, words + " eleven", "en", "a", 55), (None, None, None, None, None), (None, "", "en", "a", 0)]
+    rows += [(4, None, "en", "b", None), (5, "long words " * 20_000, "en", "b", 220_000), (6, "x" * 100_000, "en", "c", 100_000), (7, " \t ", "en", "c", 3), (8, "short", "en", "c", 5), (8, "other", "en", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("kept", "score", "size", "shard", "digest", "row number", "scored text", "words", "carried", "queue", "group"):
+        docs = docs.withColumn(name, F.lit(name))
+    return docs
+
+
+def test_every_stage_takes_odd_rows(spark):
+    docs, texts = odd_table(spark), lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    for name, stage in pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), DATA)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns), name
+    before = texts(docs)
+    assert set(texts(pipeline.quality(spark, docs, DATA))) <= set(before)
+    assert pipeline.quality(spark, docs, DATA).columns == docs.columns
+    # Brute force: of equal texts the longest, then the least doc_id; null is the last.
+    groups = collections.defaultdict(list)
+    for (i, t), n in before.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")] += [(-len(t or ""), i is None, i or 0, t)] * n
+    want = collections.Counter((None if nameless else i, t) for _, nameless, i, t in map(lambda g: min(g, key=lambda x: x[:3]), groups.values()))
+    got = pipeline.exact(spark, docs, DATA)
+    blank = lambda c: collections.Counter({(i, None if not (t or "").strip() else t): n for (i, t), n in c.items()})
+    assert blank(texts(got)) == blank(want) and got.columns == docs.columns
+    # Near copies: the three texts of ten words and that of eleven are one group; texts without words all stay.
+    family = {k for k in before if (k[1] or "").split()[:2] == ["one", "two"]}
+    want = collections.Counter({k: n for k, n in before.items() if k not in family} | {k: 1 for k in family if k[0] == 1})
+    assert texts(pipeline.near(spark, docs, DATA)) == want
+    mixed = pipeline.mixing(spark, docs, DATA)
+    assert mixed.columns == docs.columns and all((t or "").split() for _, t in texts(mixed))
+    packed = pipeline.packing(spark, docs, DATA).collect()
+    assert sum(r["start"] == 0 for r in packed) == docs.count()
+
+
 def test_run_is_the_stages(spark, stages):
     total = lambda df: df.selectExpr("count(*)", "sum(length)", "count(distinct sequence_id)").first()
     assert total(pipeline.run(spark, DATA)) == total(stages["packing"][1])

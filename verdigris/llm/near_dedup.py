@@ -13,6 +13,7 @@ Steps:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, removed, scratch
+from .common import Kept, cut, removed, scratch, small_batches
 
 WORDS = 5
 ROWS = 6
@@ -31,6 +32,8 @@ BANDS = 56
 PERCENT = 75
 #: Rows that one copy of a pivot's text is joined to.
 FAN = 128
+#: Rows of one shingle and band of sizes that a task of the prefix join compares with the others.
+CELL = 512
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -46,19 +49,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     r"""Sets of word shingles as sorted unique 64-bit hashes. A-Z are lower-cased and words are [^\x20\x09-\x0D]+ (``bytes.split`` parts by exactly these characters)."""
 
-    def __init__(self, words: int = WORDS, kept: int = 1 << 19) -> None:
-        self.words, self.kept, self.ids = words, kept, {}
+    def __init__(self, words: int = WORDS) -> None:
+        self.words, self.ids = words, Kept(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"))
 
     def word_hashes(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint64)
-        ids, words = self.ids, text.encode("utf-8", "surrogatepass").lower().split()
-        if len(ids) > self.kept:
-            ids.clear()
-        for w in words:
-            if w not in ids:
-                ids[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, (text or "").encode("utf-8", "surrogatepass").lower().split())), "<u8")
 
     def shingles(self, text: str | None) -> np.ndarray:
         h = self.word_hashes(text)
@@ -144,7 +139,8 @@ def _verified(words: int, percent: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of the distinct pairs (a, b) those that are linked. The text of a much-wanted b is copied once for each FAN of its pairs, so one b does not gather in a task."""
-    spread = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
+    # Cut, so that both sides of its joins are plain shuffles and a much-wanted b's partition can be split.
+    spread = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies")))
     right = texts.join(spread, texts["doc_id"] == spread["b"]).select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "copies")
     left = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies").cast("long")).cast("int").alias("salt"))
     left = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -177,6 +173,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows
     A null or empty text, or one without words, has no shingles and is linked with nothing. A text of fewer words than a shingle has is one shingle. Rows with equal shingle sets, repeated rows included, are linked. A doc_id on several rows is one document: what any of its texts is linked with, it is linked with. A row without doc_id cannot name a component: it is linked with nothing and has kept = true and a null component_id. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     base = cut(docs.mapInPandas(_sketched(words, rows, bands), "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>"))
     sets = base.where("class is not null and doc_id is not null")
@@ -197,7 +194,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows
     labels = cut(components(links))
     hard = cut(_undecided(buckets, labels))
     if not hard.isEmpty():
-        more = cut(verified(cut(_prefix_pairs(texts, hard, words, percent).join(stars, ["a", "b"], "left_anti")), texts, words, percent))
+        more = cut(verified(cut(_prefix_pairs(texts, hard, words, percent).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")), texts, words, percent))
         if not more.isEmpty():
             labels = cut(components(links.unionByName(more)))
     removed(spark, path)
@@ -240,12 +237,19 @@ def _prefix_pairs(texts: DataFrame, hard: DataFrame, words: int, percent: int) -
     # n - ceil(percent * n / 100) + 1
     prefix = rows.join(frequency.where("df > 1"), "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
     prefix = cut(prefix.where("df > 1").select("doc_id", "component", "n", "h", "at"))
-    # Shingles whose documents are all of one component join nothing.
-    open_ = prefix.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    prefix = prefix.join(open_, "h")
-    left = prefix.select(F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), "h")
-    right = prefix.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "h")
-    size_fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # Sizes that fit lie in one band or in neighbouring ones (a band is a little wider than the ratio of sizes that fit), so the larger set looks among the smaller ones of its own band and of the band below.
+    width = math.log(100 / percent) * 1.001
+    prefix = prefix.withColumn("band", F.floor(F.ln("n") / width).cast("int"))
+    cells = prefix.select("h", "component", F.explode(F.array("band", F.col("band") + 1)).alias("band")).groupBy("h", "band")
+    # Cells whose documents are all of one component join nothing; large ones are dealt out to several tasks.
+    cells = cells.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CELL).cast("int").alias("shares")).where("low <> high").select("h", "band", "shares")
+    share = F.pmod(F.xxhash64("doc_id"), F.col("shares").cast("long")).cast("int").alias("share")
+    left = prefix.join(cells, ["h", "band"]).select(F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), "h", "band", share)
+    right = prefix.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).join(cells, ["h", "band"])
+    right = right.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "h", "band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    size_fits = 100 * F.col("nb") >= percent * F.col("na")
     # Of the pair's first common shingle: with what follows it, it must still reach the overlap that the similarity asks for.
     rest_fits = (100 + percent) * (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) >= percent * (F.col("na") + F.col("nb"))
-    return left.join(right, "h").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & rest_fits).select("a", "b").distinct()
+    found = left.join(right, ["h", "band", "share"]).where(larger & (F.col("ca") != F.col("cb")) & size_fits & rest_fits)
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
