@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -63,6 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Has the driver collect garbage, so that Spark removes the files of shuffles and checkpoints that nothing refers to now, and not some time later. For operators of many steps, whose files would add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder, so that the optimizer knows its size."""
     df.write.parquet(path := scratch(df.sparkSession, name))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Kept, cut, removed, scratch, small_batches
+from .common import Kept, cut, removed, scratch, small_batches, tidied
 
 WORDS = 5
 ROWS = 6
@@ -155,7 +155,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Cut, so that both sides of the join are plain shuffles and the edges of a large component's centre can be split.
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
@@ -189,15 +190,22 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows
     weighed = buckets.join(weights, "doc_id").select("key", "doc_id", "weight")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not(F.col("doc_id")).alias("x"))).alias("p")).select("key", F.bitwise_not(F.col("p.x")).alias("b"))
     stars = cut(weighed.join(pivots, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
+    del members, counted, weights, weighed, pivots
+    tidied(spark)
     links = cut(verified(stars, texts, words, percent))
+    tidied(spark)
     # One doc_id may stand for several classes, and a class has one doc_id, so links between doc_ids are all there are.
     labels = cut(components(links))
     hard = cut(_undecided(buckets, labels))
+    del buckets
+    tidied(spark)
     if not hard.isEmpty():
         more = cut(verified(cut(_prefix_pairs(texts, hard, words, percent).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")), texts, words, percent))
+        tidied(spark)
         if not more.isEmpty():
             labels = cut(components(links.unionByName(more)))
     removed(spark, path)
+    tidied(spark)
     # Rows of one doc_id with several texts join the classes of these texts.
     unite = sets.join(classes.select("class", F.col("doc_id").alias("rep")), "class").where("doc_id <> rep")
     again = unite.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -237,6 +245,8 @@ def _prefix_pairs(texts: DataFrame, hard: DataFrame, words: int, percent: int) -
     # n - ceil(percent * n / 100) + 1
     prefix = rows.join(frequency.where("df > 1"), "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
     prefix = cut(prefix.where("df > 1").select("doc_id", "component", "n", "h", "at"))
+    del rows, frequency, listed
+    tidied(texts.sparkSession)
     # Sizes that fit lie in one band or in neighbouring ones (a band is a little wider than the ratio of sizes that fit), so the larger set looks among the smaller ones of its own band and of the band below.
     width = math.log(100 / percent) * 1.001
     prefix = prefix.withColumn("band", F.floor(F.ln("n") / width).cast("int"))

@@ -77,7 +77,7 @@ class WordTokenizer:
             raise ValueError("ids are packed on little-endian machines only")
         # The byte level changes nothing in printable ASCII.
         encode = lambda word: array(code, [x.id for x in merged(word if word.isascii() and word.isprintable() else bytewise(word)[0][0])]).tobytes()
-        self.known, self.encoded = Kept(encode), Encoded(encode, self.kind, 1 << 19)
+        self.known, self.encoded = Kept(encode), Encoded(encode, self.kind, 1 << 18)
 
     def ids(self, text: str | None) -> bytes:
         """The ids, little-endian, in ``kind``."""
@@ -104,7 +104,7 @@ class WordTokenizer:
             at = to
         return out
 
-    SLICE = 1 << 22
+    SLICE = 1 << 21
 
     def _slice(self, texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         if not len(data):
