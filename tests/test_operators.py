@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from verdigris.functions import provider as P
 from verdigris.functions import text as X
 from verdigris.operators import accuracy, hamming, ocr, pdq
@@ -19,6 +20,7 @@ from verdigris.operators.decision import decide
 from verdigris.operators.dictionary import Term, banned_violation, has_political_term
 from verdigris.operators.username import local_violation, username_violation
 from verdigris.plans import moderation
+from verdigris.plans.queries import blocked_table
 from verdigris.session import MediaSettings
 from verdigris.sources import cases, dictionaries, hashes, images
 from verdigris.streaming.decisions import run_batches, store_hashes
@@ -169,6 +171,40 @@ def test_nearest_at_the_pigeonhole_bound(spark):
         hamming.nearest(q, b, 257)
 
 
+def plan_nodes(plan):
+    """Nodes of a plan that has run, those of its stages too."""
+    yield plan
+    inner = "executedPlan" if plan.nodeName() == "AdaptiveSparkPlan" else "plan" if plan.nodeName().endswith("QueryStage") else None
+    children = [getattr(plan, inner)()] if inner else [plan.children().apply(k) for k in range(plan.children().size())]
+    for child in children:
+        yield from plan_nodes(child)
+
+
+def most_broadcast(frame) -> int:
+    frame.collect()
+    return max([0, *(x.metrics().apply("numOutputRows").value() for x in plan_nodes(frame._jdf.queryExecution().executedPlan()) if x.nodeName() == "BroadcastExchange")])
+
+
+@pytest.mark.parametrize("threshold", [15, 31, 47])
+def test_nearest_broadcasts_no_bands(spark, threshold):
+    q = spark.createDataFrame(list(enumerate(random_hashes(300, 3))), "id int, hash string")
+    b = spark.createDataFrame([(h,) for h in random_hashes(100, 4)], "hash string")
+    assert most_broadcast(hamming.nearest(q, b, threshold)) <= 300
+
+
+def test_blocked_hashes_move_no_texts(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = blocked_table(spark, DATA)
+        assert frame.count() == frame.distinct().count() > 0
+        frame.collect()
+        moved = [x.output().mkString(" ") for x in plan_nodes(frame._jdf.queryExecution().executedPlan()) if x.nodeName() == "Exchange"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved and not any("text" in x for x in moved)
+
+
 def test_hash_words(spark):
     good, bad = ["0" * 64, "F" * 64, "0" * 63 + "3"], [None, "0" * 63, "0" * 65, "g" * 64, " " + "0" * 63]
     assert column(spark, good, lambda c: hamming.norm(hamming.words(c))) == [0, 256, 2]

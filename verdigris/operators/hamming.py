@@ -53,7 +53,7 @@ def probes(value: Column, flips: int) -> Column:
 def nearest(queries: DataFrame, blocked: DataFrame, threshold: int, key: str = "id", value: str = "hash") -> DataFrame:
     """(key, distance) of the queries with a blocked hash within the threshold: the least distance.
 
-    The threshold is between 0 and 256. Rows whose hash cannot be parsed match nothing. Repeated query hashes are looked up once, so a hash that many records share costs as one. Equal hashes are found by a plain join first; only the others are probed. No side is broadcast by force: the optimizer does so where a side's size allows.
+    The threshold is between 0 and 256. Rows whose hash cannot be parsed match nothing. Repeated query hashes are looked up once, so a hash that many records share costs as one. Equal hashes are found by a plain join first; only the others are probed. No side is broadcast by force: the optimizer does so where a side's size allows. Bands are never broadcast: an exploded array counts as one row in the optimizer's sizes, so it would take a few hundred times as much for small.
     """
     if not 0 <= threshold <= BITS:
         raise ValueError("threshold must be between 0 and 256")
@@ -68,12 +68,13 @@ def nearest(queries: DataFrame, blocked: DataFrame, threshold: int, key: str = "
     else:
         if threshold < BANDED_BELOW:
             left = rest.select("w", F.explode(bands(F.col("w"))).alias("band"))
-            pairs = left.join(index.select("x", F.explode(probes(F.col("x"), threshold // BANDS)).alias("band")), "band")
+            pairs = left.join(index.select("x", F.explode(probes(F.col("x"), threshold // BANDS)).alias("band")).hint("merge"), "band")
         else:
             pairs = rest.join(index, distance(F.col("w"), F.col("x")) <= threshold)
         near = pairs.select("w", distance(F.col("w"), F.col("x")).alias("distance")).where(F.col("distance") <= threshold)
         found = exact.unionByName(near.groupBy("w").agg(F.min("distance").alias("distance")))
-    return wanted.join(found, "w").select(key, "distance")
+    first = F.get("w", F.lit(0))  # nothing is dealt by it yet, so the join deals both sides anew and can split the records of one hash
+    return wanted.withColumn("w0", first).join(found.withColumn("w0", first), ["w", "w0"]).select(key, "distance")
 
 
 def match_signal(hashes: DataFrame, blocked: DataFrame, quality: int = QUALITY_THRESHOLD, threshold: int = DISTANCE_THRESHOLD, key: str = "content_id") -> DataFrame:
