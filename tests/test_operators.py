@@ -222,6 +222,15 @@ def test_match_signal_gates(spark):
     assert none == {"a": False, "b": False, "c": False}
 
 
+def test_match_signal_broadcasts_no_bands(spark):
+    hashed = random_hashes(300, 5)
+    q = spark.createDataFrame([(i, h, i % 100) for i, h in enumerate(hashed)], "content_id int, hash string, quality int")
+    near = [f"{int(h, 16) ^ 7 << i % 250:064x}" for i, h in enumerate(hashed[:100])]
+    signal = hamming.match_signal(q, spark.createDataFrame([(h,) for h in near], "hash string"))
+    assert most_broadcast(signal) <= 300
+    assert sorted((r["content_id"], r["distance"]) for r in signal.where("matched").collect()) == [(i, 3) for i in range(50, 100)]
+
+
 def test_observed_sink_is_idempotent(spark, tmp_path):
     path = f"file://{tmp_path}/observed"
     df = spark.createDataFrame([("a", "1", 7, 1), ("a", "1", 3, 2), ("b", "1", 5, 3)], "content_id string, hash string, quality int, n int")
